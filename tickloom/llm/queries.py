@@ -5,19 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.byte_bpe import encode
 from tickloom.llm.exact_dedup import exact_dedup
+from tickloom.llm.harmonic_packing import cut_documents, harmonic_packing
+from tickloom.llm.quality_rules import BASE, quality_rules
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), decode=True)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("doc_id", *BASE, "base_failed", "kept", "pattern", "p_good")
+
+
+def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = cut_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    packed = harmonic_packing(pieces.withColumn("ids_crc32", F.crc32("ids_le")).drop("ids_le"))
+    return packed.select(F.col("id").alias("doc_id"), "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_quality_rules": op3_quality_rules,
+    "op7_harmonic_packing": op7_harmonic_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
