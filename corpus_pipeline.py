@@ -1,8 +1,62 @@
-"""Corpus cleaning: quality rules, quality classifier, exact dedup, near dedup, packing."""
+"""Corpus cleaning in five stages: quality rules, quality classifier, exact dedup, near dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
+return the columns of ``documents``. The classifier learns from the labelled rows of the source table,
+so that what the rules rejected still teaches it. No stage is given in SQL as a whole: the rules' and
+classifier's models are fitted iteratively, so tests hold the pipeline against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import compression_classifier
+from tickloom.llm.exact_dedup import exact_dedup
+from tickloom.llm.harmonic_packing import cut_documents, harmonic_packing
+from tickloom.llm.near_dedup import keep_first
+from tickloom.llm.quality_rules import quality_rules
+from tickloom.llm.queries import vocabulary
+from tickloom.llm.store import settle
+
+
+def reject_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules(docs).where("kept").select(docs.columns)
+
+
+def reject_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    source, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    model, prior = compression_classifier.fit(source, labels)
+    return compression_classifier.classify(docs, model, prior).where("predicted = 1").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup(docs, keep="largest").where("kept").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_first(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = cut_documents(docs, vocabulary("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids_le")).drop("ids_le")
+    return harmonic_packing(pieces).select(F.col("id").alias("doc_id"), "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality rules", reject_by_rules),
+    ("quality classifier", reject_by_classifier),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("packing", pack),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each one's result written before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

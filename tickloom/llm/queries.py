@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm import compression_classifier
 from tickloom.llm.byte_bpe import encode
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.harmonic_packing import cut_documents, harmonic_packing
+from tickloom.llm.near_dedup import near_dedup
 from tickloom.llm.quality_rules import BASE, quality_rules
 
 
@@ -32,12 +34,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *BASE, "base_failed", "kept", "pattern", "p_good")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = cut_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     packed = harmonic_packing(pieces.withColumn("ids_crc32", F.crc32("ids_le")).drop("ids_le"))
     return packed.select(F.col("id").alias("doc_id"), "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model, prior = compression_classifier.fit(docs, _table(spark, sf_dir, "labels"))
+    return compression_classifier.classify(docs, model, prior, carry=["doc_id"]).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -46,7 +58,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
+    "op5_near_dedup": op5_near_dedup,
     "op7_harmonic_packing": op7_harmonic_packing,
+    "op8_compression_classifier": op8_compression_classifier,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
