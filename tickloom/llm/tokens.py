@@ -5,8 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -15,8 +14,10 @@ SPACE = "\t\n\v\f\r \x85\xa0  -     　"
 #: Chunks whose borders are always borders of pre-tokens of a byte-level vocabulary: a run without
 #: white space and the single space before it, or white space alone.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Longer chunks are encoded but not remembered; so many are remembered at most (about 150 MB).
-LONGEST, MOST = 64, 500_000
+#: Longer chunks are encoded but not remembered; two generations of so many are (about 250 MB).
+LONGEST, MOST = 64, 600_000
+#: Letters that neither combine nor lower to more than one character, then symbols: two pre-tokens at most.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u0148\u014a-\u01c3\u01cd-\u01ef\u01f1-\u024f]+)([.,!?;:#*$%&|]*)")
 
 
 def byte_characters() -> dict[int, str]:
@@ -49,31 +50,65 @@ def byte_level_tokenizer(ranks: dict[bytes, int]):
 
 
 class ChunkEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers, from remembered ids of their chunks."""
-
-    def __init__(self, tokenizer, split):
-        self.tokenizer, self.split, self.known = tokenizer, split, {}
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        found = {}
-        for at in range(0, len(chunks), 8192):
-            part = chunks[at : at + 8192]
+    """Ids of whole texts as little-endian unsigned 32-bit integers, from remembered ids of their chunks.
+
+    ``plain`` says how the vocabulary spells a plain chunk's pre-tokens; their merges are then asked of the
+    model itself, which skips the work that only other chunks need."""
+
+    def __init__(self, tokenizer, split, plain):
+        self.tokenizer, self.split, self.plain = tokenizer, split, plain
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.spelling = {b: ord(c) for b, c in byte_characters().items()}
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token, spelled as the model spells it."""
+        spelled = part if part.isascii() and part[0] != " " else part.encode().decode("latin-1").translate(self.spelling)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        found, rest, plain, known = {}, [], self.plain, self.known
+        for chunk in chunks:
+            if len(chunk) <= LONGEST and (m := PLAIN.fullmatch(chunk)):
+                word, tail = m.groups()
+                word = plain(word)
+                ids = known.get(word) or found.get(word)
+                if ids is None:
+                    ids = found[word] = self._part(word)
+                if tail:
+                    more = known.get(tail) or found.get(tail)
+                    if more is None:
+                        more = found[tail] = self._part(tail)
+                    ids += more
+                found[chunk] = ids
+            else:
+                rest.append(chunk)
+        for at in range(0, len(rest), 8192):
+            part = rest[at : at + 8192]
             for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                found[chunk] = np.asarray(e.ids, "<u4").tobytes()
+                found[chunk] = array("I", e.ids).tobytes()
         return found
 
     def chunk_ids(self, texts: list[str]) -> tuple[list[list[str]], dict[str, bytes]]:
-        """The chunks of each text, and ids for all of them."""
+        """The chunks of each text, and a small table of ids for all of them."""
         split = [self.split(x) for x in texts]
-        new = set().union(*split).difference(self.known) if split else set()
-        if len(self.known) + len(new) > MOST:
-            self.known = {}
-            new = set().union(*split)
-        found = self._learn(list(new))
-        self.known.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
-        if all(len(k) <= LONGEST for k in found):
-            return split, self.known
-        return split, {**{c: self.known[c] for cs in split for c in cs if c in self.known}, **found}
+        wanted = list(set().union(*split))
+        here = dict(zip(wanted, map(self.known.get, wanted)))
+        new = {c for c, ids in here.items() if ids is None}
+        if self.older and new:
+            again = {c: ids for c in new if (ids := self.older.get(c)) is not None}
+            self.known.update(again)
+            here.update(again)
+            new.difference_update(again)
+        if new:
+            found = self._learn(new)
+            here.update(found)
+            if len(self.known) + len(found) > MOST:
+                self.known, self.older = {}, self.known
+            self.known.update(found)
+            for c in [c for c in new if len(c) > LONGEST]:
+                del self.known[c]
+        return split, here
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split, ids = self.chunk_ids(texts)
@@ -87,7 +122,7 @@ _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 def byte_encoder(path: str) -> ChunkEncoder:
     """For a rank file; one per worker and file."""
     if ("byte", path) not in _ENCODERS:
-        _ENCODERS["byte", path] = ChunkEncoder(byte_level_tokenizer(read_ranks(path)), CHUNK.findall)
+        _ENCODERS["byte", path] = ChunkEncoder(byte_level_tokenizer(read_ranks(path)), CHUNK.findall, str)
     return _ENCODERS["byte", path]
 
 
@@ -102,7 +137,7 @@ def word_encoder(path: str) -> ChunkEncoder:
     if ("word", path) not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        _ENCODERS["word", path] = ChunkEncoder(Tokenizer.from_file(path), split_words)
+        _ENCODERS["word", path] = ChunkEncoder(Tokenizer.from_file(path), split_words, str.lower)
     return _ENCODERS["word", path]
 
 
