@@ -1,4 +1,10 @@
 """Every query of the analytics engine with its DuckDB counterpart."""
 
+from tickloom.plans import leaderboard
+
+_PARTS = (leaderboard,)
 QUERIES: dict = {}
 SQL: dict = {}
+for _part in _PARTS:
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
