@@ -1,8 +1,8 @@
 """Every query of the analytics engine with its DuckDB counterpart."""
 
-from tickloom.plans import leaderboard
+from tickloom.plans import leaderboard, timeseries
 
-_PARTS = (leaderboard,)
+_PARTS = (leaderboard, timeseries)
 QUERIES: dict = {}
 SQL: dict = {}
 for _part in _PARTS:
