@@ -9,6 +9,7 @@ segment lengths and the positions that restart with each segment.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -69,15 +70,16 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 def _pack(path: str, end_id: int, capacity: int, pad_id: int, window: int):
     end = np.asarray([end_id], "<u4").tobytes()
     pad = np.asarray([pad_id], "<u4").tobytes()
+    ramp = np.arange(capacity, dtype="<u4").tobytes()
 
     def emit(parts: list[tuple]) -> pa.RecordBatch:
         out = []
         for row in best_fit([len(p[2]) // 4 for p in parts], capacity):
             lengths = [len(parts[i][2]) // 4 for i in row]
             n = sum(lengths)
-            positions = np.concatenate([np.arange(x, dtype="<u4") for x in lengths] + [np.zeros(capacity - n, "<u4")])
+            positions = b"".join([ramp[: 4 * x] for x in lengths]) + bytes(4 * (capacity - n))
             ids = b"".join([parts[i][2] for i in row]) + pad * (capacity - n)
-            out.append(([parts[i][0] for i in row], [parts[i][1] for i in row], np.cumsum([0, *lengths]).tolist(), n, ids, positions.tobytes()))
+            out.append(([parts[i][0] for i in row], [parts[i][1] for i in row], [0, *accumulate(lengths)], n, ids, positions))
         kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_ids", "starts", "cu_seqlens", "n_tokens", "ids_le", "positions_le"])
 

@@ -26,9 +26,9 @@ SCRUB = ((re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), "<
 class TokenTree:
     """Counts of one text. ``count`` maps a list of chunks to their numbers of tokens."""
 
-    def __init__(self, text: str, count: Callable[[list[str]], list[int]], split: list[str] | None = None):
+    def __init__(self, text: str, count: Callable[[list[str]], list[int]]):
         self.count, self.encoded = count, 0
-        chunks = CHUNK.findall(text) if split is None else split
+        chunks = CHUNK.findall(text)
         tokens = self._encode(chunks)
         self.blocks = [(chunks[i : i + BLOCK], tokens[i : i + BLOCK]) for i in range(0, len(chunks), BLOCK)] or [([], [])]
         self._build()
@@ -113,14 +113,7 @@ class TokenTree:
 
 
 def counter(encoder: ChunkEncoder) -> Callable[[list[str]], list[int]]:
-    def count(chunks: list[str]) -> list[int]:
-        new = [c for c in set(chunks) if c not in encoder.known]
-        if not new:
-            return [len(encoder.known[c]) // 4 for c in chunks]
-        found = encoder.chunk_ids(["".join(chunks)] if len(chunks) == 1 else chunks)[1]
-        return [len(found[c]) // 4 if c in found else sum(len(x) // 4 for x in encoder.encode([c])) for c in chunks]
-
-    return count
+    return lambda chunks: [len(encoder.known[c]) // 4 for c in chunks]
 
 
 def scrub_edits(text: str) -> list[tuple[int, int, str]]:
@@ -142,16 +135,15 @@ def _recount(path: str, edits: Callable[[str], list[tuple[int, int, str]]], text
         count = counter(encoder)
         for b in batches:
             for at, texts in slices(b.column(b.num_columns - 1)):
-                split, known = encoder.chunk_ids(texts)
+                encoder.renew()
                 rows = []
-                for text, chunks in zip(texts, split):
-                    tree = TokenTree(text, lambda cs: [len(known[c]) // 4 for c in cs], chunks)
-                    tree.count = count
+                for text in texts:
+                    tree = TokenTree(text, count)
                     n, first = tree.total, tree.encoded
                     spans = edits(text)
                     for start, end, new in reversed(spans):
                         tree.edit(start, end, new)
-                    rows.append((n, len(chunks), len(spans), tree.encoded - first, tree.total, tree.text() if texts_out else None))
+                    rows.append((n, first, len(spans), tree.encoded - first, tree.total, tree.text() if texts_out else None))
                 kinds = [pa.int64()] * 5 + [pa.string()]
                 made = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
                 names = ["n_tokens", "n_chunks", "n_edits", "n_reencoded", "n_tokens_after", "edited"]

@@ -49,71 +49,59 @@ def byte_level_tokenizer(ranks: dict[bytes, int]):
     return made
 
 
-class ChunkEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers, from remembered ids of their chunks.
+class Known(dict):
+    """Ids of chunks, learned when first asked for; what the generation before knew is taken over."""
 
-    ``plain`` says how the vocabulary spells a plain chunk's pre-tokens; their merges are then asked of the
-    model itself, which skips the work that only other chunks need."""
-
-    def __init__(self, tokenizer, split, plain):
-        self.tokenizer, self.split, self.plain = tokenizer, split, plain
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.spelling = {b: ord(c) for b, c in byte_characters().items()}
+    def __init__(self, tokenizer, plain, older: dict[str, bytes] | None = None):
+        self.tokenizer, self.plain, self.older = tokenizer, plain, older or {}
+        self.merge, self.spelling = tokenizer.model.tokenize, {b: ord(c) for b, c in byte_characters().items()}
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token, spelled as the model spells it."""
         spelled = part if part.isascii() and part[0] != " " else part.encode().decode("latin-1").translate(self.spelling)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        found, rest, plain, known = {}, [], self.plain, self.known
-        for chunk in chunks:
-            if len(chunk) <= LONGEST and (m := PLAIN.fullmatch(chunk)):
+        return array("I", [t.id for t in self.merge(spelled)]).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > LONGEST:
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        ids = self.older.get(chunk)
+        if ids is None:
+            if m := PLAIN.fullmatch(chunk):
                 word, tail = m.groups()
-                word = plain(word)
-                ids = known.get(word) or found.get(word)
+                word = self.plain(word)
+                ids = self.get(word)
                 if ids is None:
-                    ids = found[word] = self._part(word)
+                    ids = self[word] = self._part(word)
                 if tail:
-                    more = known.get(tail) or found.get(tail)
+                    more = self.get(tail)
                     if more is None:
-                        more = found[tail] = self._part(tail)
+                        more = self[tail] = self._part(tail)
                     ids += more
-                found[chunk] = ids
             else:
-                rest.append(chunk)
-        for at in range(0, len(rest), 8192):
-            part = rest[at : at + 8192]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                found[chunk] = array("I", e.ids).tobytes()
-        return found
-
-    def chunk_ids(self, texts: list[str]) -> tuple[list[list[str]], dict[str, bytes]]:
-        """The chunks of each text, and a small table of ids for all of them."""
-        split = [self.split(x) for x in texts]
-        wanted = list(set().union(*split))
-        here = dict(zip(wanted, map(self.known.get, wanted)))
-        new = {c for c, ids in here.items() if ids is None}
-        if self.older and new:
-            again = {c: ids for c in new if (ids := self.older.get(c)) is not None}
-            self.known.update(again)
-            here.update(again)
-            new.difference_update(again)
-        if new:
-            found = self._learn(new)
-            here.update(found)
-            if len(self.known) + len(found) > MOST:
-                self.known, self.older = {}, self.known
-            self.known.update(found)
-            for c in [c for c in new if len(c) > LONGEST]:
-                del self.known[c]
-        return split, here
+                ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = ids
+        return ids
+
+
+class ChunkEncoder:
+    """Ids of whole texts as little-endian unsigned 32-bit integers, from remembered ids of their chunks.
+
+    ``plain`` says how the vocabulary spells a plain chunk's pre-tokens; their merges are asked of the
+    model itself, which skips the work that only other chunks need."""
+
+    def __init__(self, tokenizer, split, plain):
+        self.tokenizer, self.split, self.plain = tokenizer, split, plain
+        self.known = Known(tokenizer, plain)
+
+    def renew(self) -> None:
+        """Start a new generation if this one is full."""
+        if len(self.known) > MOST:
+            self.known = Known(self.tokenizer, self.plain, dict(self.known))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split, ids = self.chunk_ids(texts)
-        get = ids.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        self.renew()
+        get = self.known.__getitem__
+        return [b"".join(map(get, self.split(x))) for x in texts]
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
