@@ -1,8 +1,8 @@
 """Every query of the analytics engine with its DuckDB counterpart."""
 
-from tickloom.plans import leaderboard, timeseries
+from tickloom.plans import leaderboard, metrics, timeseries
 
-_PARTS = (leaderboard, timeseries)
+_PARTS = (leaderboard, timeseries, metrics)
 QUERIES: dict = {}
 SQL: dict = {}
 for _part in _PARTS:
