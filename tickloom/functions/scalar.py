@@ -25,7 +25,7 @@ def signed_log(x: Column) -> Column:
 
 
 def transform(x: Column, kind: str) -> Column:
-    return {"positive": F.log1p(F.greatest(x, F.lit(0.0))), "signed": signed_log(x), "plain": x}[kind]
+    return {"positive": F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0)))), "signed": signed_log(x), "plain": x}[kind]
 
 
 def log_price(x: Column) -> Column:

@@ -26,7 +26,8 @@ def zscore(x: Column, keys: Sequence[str], inside: Column | None = None, clip: f
     """(x - mean) / (sample deviation + 1e-12) within keys, the statistics over rows ``inside``, clipped."""
     w = Window.partitionBy(*keys)
     y = x if inside is None else F.when(inside, x)
-    return F.greatest(F.least((x - F.avg(y).over(w)) / (F.stddev_samp(y).over(w) + 1e-12), F.lit(clip)), F.lit(-clip))
+    z = (x - F.avg(y).over(w)) / (F.stddev_samp(y).over(w) + 1e-12)
+    return F.when(z.isNotNull(), F.greatest(F.least(z, F.lit(clip)), F.lit(-clip)))
 
 
 def rolling(fn, x: Column, w: WindowSpec, rows: int, least: int) -> Column:

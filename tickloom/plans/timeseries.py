@@ -260,8 +260,8 @@ SQL = {
         r AS (SELECT *, rank() OVER (PARTITION BY ts ORDER BY c NULLS LAST) AS rc, count(*) OVER (PARTITION BY ts, c) AS tc, count(c) OVER t AS nc, avg(c) OVER t AS mc, stddev_samp(c) OVER t AS sc,
             rank() OVER (PARTITION BY ts ORDER BY h NULLS LAST) AS rh, count(*) OVER (PARTITION BY ts, h) AS th, count(h) OVER t AS nh, avg(h) OVER t AS mh, stddev_samp(h) OVER t AS sh,
             rank() OVER (PARTITION BY ts ORDER BY p NULLS LAST) AS rp, count(*) OVER (PARTITION BY ts, p) AS tp, count(p) OVER t AS np FROM y WINDOW t AS (PARTITION BY ts))
-        SELECT symbol, ts, in_universe, in_pct, round(CASE WHEN c IS NOT NULL THEN (rc + (tc - 1) / 2) / nc END, 5) AS rank_close, round(least(greatest((close - mc) / (sc + 1e-12), -3), 3), 5) AS z_close,
-            round(CASE WHEN h IS NOT NULL THEN (rh + (th - 1) / 2) / nh END, 5) AS rank_high, round(least(greatest((high - mh) / (sh + 1e-12), -3), 3), 5) AS z_high,
+        SELECT symbol, ts, in_universe, in_pct, round(CASE WHEN c IS NOT NULL THEN (rc + (tc - 1) / 2) / nc END, 5) AS rank_close, round(CASE WHEN mc IS NOT NULL AND sc IS NOT NULL THEN least(greatest((close - mc) / (sc + 1e-12), -3), 3) END, 5) AS z_close,
+            round(CASE WHEN h IS NOT NULL THEN (rh + (th - 1) / 2) / nh END, 5) AS rank_high, round(CASE WHEN mh IS NOT NULL AND sh IS NOT NULL THEN least(greatest((high - mh) / (sh + 1e-12), -3), 3) END, 5) AS z_high,
             round(CASE WHEN p IS NOT NULL THEN (rp + (tp - 1) / 2) / np END, 5) AS rank_pct_close FROM r""",
     "lags_calendar": f"""WITH {_RET} SELECT symbol, ts, round(ret_1m, 6) AS ret_1m, round(lag(close) OVER w, 6) AS close_lag1, round(lag(close, 2) OVER w, 6) AS close_lag2, lag(volume) OVER w AS volume_lag1, lag(volume, 2) OVER w AS volume_lag2,
         round(lag(ret_1m) OVER w, 6) AS ret_1m_lag1, round(lag(ret_1m, 2) OVER w, 6) AS ret_1m_lag2, minute(ts) AS minute_of_hour, hour(ts) AS hour_of_day, isodow(ts) - 1 AS day_of_week, day(ts) AS day_of_month, month(ts) AS month
