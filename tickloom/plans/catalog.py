@@ -1,8 +1,8 @@
 """Every query of the analytics engine with its DuckDB counterpart."""
 
-from tickloom.plans import baseline, imf_post, leaderboard, metrics, regime, rules, timeseries
+from tickloom.plans import baseline, imf, imf_post, leaderboard, metrics, regime, rules, timeseries
 
-_PARTS = (leaderboard, timeseries, metrics, baseline, regime, rules, imf_post)
+_PARTS = (leaderboard, timeseries, metrics, baseline, regime, rules, imf_post, imf)
 QUERIES: dict = {}
 SQL: dict = {}
 for _part in _PARTS:
