@@ -127,12 +127,12 @@ def permutation_importance(model: PipelineModel, df: DataFrame, task: Task, scor
 
 
 def calibrate(scored: DataFrame, score: str, label: str, method: str = "platt") -> PipelineModel:
-    """A fitted calibration of a score: logistic (platt) or isotonic. Its output column is the one ``predict`` names."""
+    """A fitted calibration of a score: logistic (platt), which adds ``calibrated_probability``, or isotonic, which adds ``calibrated``."""
     v = VectorAssembler(inputCols=[score], outputCol="score_vector")
     if method == "platt":
-        model = clf.LogisticRegression(featuresCol="score_vector", labelCol=label, probabilityCol="probability")
+        model = clf.LogisticRegression(featuresCol="score_vector", labelCol=label, probabilityCol="calibrated_probability", rawPredictionCol="calibrated_raw", predictionCol="calibrated_class")
     elif method == "isotonic":
-        model = reg.IsotonicRegression(featuresCol="score_vector", labelCol=label)
+        model = reg.IsotonicRegression(featuresCol="score_vector", labelCol=label, predictionCol="calibrated")
     else:
         raise ValueError(f"no calibration {method!r}")
     return Pipeline(stages=[v, model]).fit(scored)
