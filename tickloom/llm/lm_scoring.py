@@ -29,19 +29,18 @@ CLASSES, SHARED, PAD = 255, 63, 255
 AROUND = (-2, -1, 1, 2)
 WIDTH, STRIDE, ROUNDS, BATCH, RATE = 16, 16, 2, 512, 0.1
 BLANK = "[\\x20\\x09-\\x0D]+"
-_BLANKS = str.maketrans({c: " " for c in "\t\n\v\f\r"})
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SIZES = (len(AROUND) * (PAD + 1) * WIDTH, WIDTH * CLASSES, CLASSES)
 
 
 def split_words(text: str) -> list[str]:
-    return [w for w in text.translate(_BLANKS).split(" ") if w]
+    for blank in "\t\n\v\f\r":
+        text = text.replace(blank, " ")
+    return [w for w in text.lower().split(" ") if w]
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over whole texts; words have A-Z lower-cased."""
-    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs.select(F.explode(F.split(lowered, BLANK)).alias("word")).where("word <> ''")
+    """(word, n) over whole texts, lower-cased."""
+    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), BLANK)).alias("word")).where("word <> ''")
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -100,18 +99,22 @@ def train_step(weights: tuple, squares: tuple, around: np.ndarray, target: np.nd
         w -= RATE * g / (np.sqrt(s) + 1e-6)
 
 
+class WordClasses(dict):
+    """Classes of words; a rare word's is found when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = shape_class(word)
+        return found
+
+
 def _code(classes: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(classes)
+        known = WordClasses(classes)
         for b in batches:
             for at, texts in slices(b.column(b.num_columns - 1)):
-                split = [split_words(t.translate(_LOWER)) for t in texts]
-                new = set().union(*split).difference(known)
-                if len(known) + len(new) > 500_000:
-                    known = dict(classes)
-                    new = set().union(*split).difference(known)
-                known.update((w, shape_class(w)) for w in new)
-                codes = pa.array([bytes(map(known.__getitem__, words)) for words in split], pa.binary())
+                if len(known) > 500_000:
+                    known = WordClasses(classes)
+                codes = pa.array([bytes(map(known.__getitem__, split_words(t))) for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in b.columns[:-1]), codes], [*b.schema.names[:-1], "codes"])
 
     return run
