@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import compression_classifier
+from tickloom.llm import compression_classifier, oracle
 from tickloom.llm.bfd_packing import bfd_packing
 from tickloom.llm.byte_bpe import encode
 from tickloom.llm.edit_counts import recount
@@ -64,7 +64,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(_table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return found.select("doc_id", *BASE, "base_failed", "kept", "pattern", "p_good")
+    return found.select("doc_id", *BASE, "base_failed", "kept", "pattern", F.round("p_good", 6).alias("p_good"))
 
 
 def op4_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +134,7 @@ SQL = {
         SELECT c.page_id, c.host, c.fetched_at, h.pattern IS NOT NULL AS listed, h.list, h.pattern, h.valid_from
         FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND h.k = 1
     """,
-    "op10_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
-    """,
+    "op3_quality_rules": oracle.quality_rules(),
+    "op5_near_dedup": oracle.NEAR_DEDUP,
+    "op10_exact_dedup": oracle.EXACT_DEDUP,
 }
