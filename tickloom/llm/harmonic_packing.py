@@ -98,10 +98,10 @@ def harmonic_packing(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     counts = held.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("n"))
     by_class = Window.partitionBy("class")
     upto = by_class.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each class (at most 31 + 64) and bucket
+    # one row for each class (at most 31 + 64) and bucket, joined where the ranks' rows already are
     before = counts.select("class", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.sum("n").over(by_class).alias("total"))
     rank = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("id", "start", "row")) - 1
-    ranked = held.withColumn("rank", rank).join(F.broadcast(before), ["class", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = held.withColumn("rank", rank).join(before, ["class", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     whole = F.col("rank") < F.col("total") - F.col("total") % F.col("class")
     inside = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     full = ranked.where(whole).withColumn("sequence_id", (F.floor(F.col("rank") / F.col("class")) + 1) * 4096 + F.col("class"))
