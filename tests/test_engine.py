@@ -397,3 +397,28 @@ def test_streams(spark, tmp_path):
 def test_sql_functions(spark):
     scalar.register_sql(spark)
     assert spark.sql("SELECT tl_price_at(100, 8), tl_amplitude_band(5), tl_amplitude_band(NULL), tl_signed_log(-1)").first()[:3] == (108.0, "medium", "unknown")
+
+
+def test_jobs_from_bars_to_signals(spark, tmp_path):
+    from tickloom.plans import jobs
+
+    rows = [r for k, s in enumerate("ABC") for r in make_bars(24 * 45, 20 + k, symbol=s)]
+    b = spark.createDataFrame(rows, BAR)
+    found = jobs.run_all(b, str(tmp_path), F.lit(at(24 * 45)).cast("timestamp_ntz"), "1 hour", 1.0, sizes=(24,), cfg=imf.StageConfig(trials=2))
+    assert "overlaps" in found
+    assert spark.read.parquet(str(tmp_path / "overlaps" / "state")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "overlaps" / "imf" / "summary")).select("symbol").distinct().count() == 3
+
+
+def test_train_and_predict_jobs(spark, tmp_path):
+    from tickloom.plans import jobs
+
+    b = spark.createDataFrame([r for k, s in enumerate("AB") for r in make_bars(400, 30 + k, symbol=s)], BAR)
+    spec = ds.DatasetSpec(lags=2, preset="min")
+    result = jobs.train_job(b, str(tmp_path), spec, horizon=3, bps=50, model="logreg", embargo="5 hours", folds=2, rounds=10)
+    assert set(result) == {"cv", "test", "threshold"} and 0 <= result["test"]["roc_auc"] <= 1
+    df, _ = ds.build_dataset(b, spec)
+    assert jobs.predict_job(df, str(tmp_path / "artifacts"), str(tmp_path / "p")).count() == df.count()
+    with pytest.raises(ValueError, match="close_lag1"):
+        jobs.predict_job(df.drop("close_lag1"), str(tmp_path / "artifacts"), str(tmp_path / "p"))
+    assert json.loads(jobs.run_config(seed=1))["seed"] == 1

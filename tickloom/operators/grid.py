@@ -51,3 +51,10 @@ def windowed(bars: DataFrame, size: str, bars_each: int, keys: Sequence[str] = (
     rows = bars.withColumn("window_start", floor_time(F.col(ts), size))
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys, "window_start"))
     return rows.withColumn("window_bars", n).where(F.col("window_bars") >= max(1, int(bars_each * coverage)))
+
+
+def bars_coverage(bars: DataFrame, every: str, start: Column, end: Column, ts: str = "ts") -> DataFrame:
+    """(symbol, before, after, missing_share): distinct bars in (start, end] and bins that the grid has there."""
+    inside = bars.where((F.col(ts) > start) & (F.col(ts) <= end)).groupBy("symbol").agg(F.count_distinct(ts).alias("before"))
+    bins = F.size(F.sequence(start, end, F.expr(f"INTERVAL {every}"))) - 1
+    return inside.withColumn("after", bins.cast("bigint")).withColumn("missing_share", 1 - F.try_divide(F.col("before"), F.col("after")))

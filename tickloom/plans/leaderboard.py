@@ -12,6 +12,7 @@ from tickloom.functions.scalar import change
 from tickloom.operators.analytic import first_rows
 from tickloom.plans.tables import table
 from tickloom.sources.bars import history, parse_ticker, quoted_in, recent_symbols
+from tickloom.store import settle
 
 SIZES = (6, 24, 72, 168)
 
@@ -152,15 +153,20 @@ def q_leaderboard_appearances(spark, d):
 
 
 def q_habitual_cohorts(spark, d):
-    return cohorts(_movers(spark, d)).select("cohort", F.col("rk").cast("bigint").alias("rk"), "symbol", F.round("score", 9).alias("score"))
+    return cohorts(settle(_movers(spark, d), "movers")).select("cohort", F.col("rk").cast("bigint").alias("rk"), "symbol", F.round("score", 9).alias("score"))
+
+
+def _counts(spark, d):
+    """The tallies are read several times and are tiny against the ticks, so they are written once."""
+    return settle(tallies(_movers(spark, d)), "tallies")
 
 
 def q_bucket_skew(spark, d):
-    return skew(tallies(_movers(spark, d))).select("symbol", "bucket", F.round("deviation_pct", 6).alias("deviation_pct"), "level", F.round("distance", 9).alias("distance"))
+    return skew(_counts(spark, d)).select("symbol", "bucket", F.round("deviation_pct", 6).alias("deviation_pct"), "level", F.round("distance", 9).alias("distance"))
 
 
 def q_profile_tags(spark, d):
-    counts = tallies(_movers(spark, d))
+    counts = _counts(spark, d)
     return profile_tags(counts, skew(counts))
 
 

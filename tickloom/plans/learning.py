@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.ml import dataset as ds
 from tickloom.ml import models
 from tickloom.plans.tables import bars_h
-from tickloom.session import shared_folder
+from tickloom.store import shared_dir
 from tickloom.streaming.windows import stream_ewm, stream_sliding, stream_windows
 
 FEATURES = ("close_lag1", "close_lag2", "volume_lag1", "ret_1m_lag1", "hour_of_day")
@@ -49,7 +49,7 @@ def q_model_elastic(spark, d):
 
 def run_stream(spark: SparkSession, out: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming frame over what its source holds now; its output as a table written to the shared folder."""
-    path = f"{shared_folder(spark)}/tickloom-streams/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tickloom-streams/{uuid.uuid4().hex}"
     query = out.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out")

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tickloom.functions import arrays as a
 from tickloom.functions import fold
@@ -54,11 +55,26 @@ def collect_windows(bars: DataFrame, window: Column, every: str, bars_each: int,
     This is the only shuffle of the indicators; the arrays are as long as a window has bars."""
     bar = F.struct(F.col(ts).alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"))
     got = bars.groupBy(*keys, window.alias("window_start")).agg(F.sort_array(F.collect_list(bar)).alias("b"))
+    return _with_gaps(got, [*keys, "window_start"], every, bars_each, coverage)
+
+
+def _with_gaps(got: DataFrame, keys: Sequence[str], every: str, bars_each: int, coverage: float) -> DataFrame:
     times = F.sequence(F.col("b")[0]["t"], fold.last(F.col("b"))["t"], F.expr(f"INTERVAL {every}"))
     by_time = F.map_from_entries(F.transform("b", lambda x: F.struct(x["t"].alias("key"), x.alias("value"))))
     filled = let(by_time, lambda m: F.transform(times, lambda t: F.try_element_at(m, t)))
     n = F.size("b")
-    return got.select(*keys, "window_start", (n / bars_each).alias("window_coverage"), (n >= max(1, int(bars_each * coverage))).alias("window_ok"), filled.alias("b"))
+    return got.select(*keys, (n / bars_each).alias("window_coverage"), (n >= max(1, int(bars_each * coverage))).alias("window_ok"), filled.alias("b"))
+
+
+def dense_windows(bars: DataFrame, seconds: int, every: str, bars_each: int, coverage: float = 0.8) -> DataFrame:
+    """Each bar's trailing window (t - seconds, t] in the shape of ``collect_windows``, stamped with ``ts``.
+
+    Recursive metrics start anew in every window, so each needs its own bars: the work is bars times
+    bars per window. Meant for short windows or resampled bars."""
+    w = Window.partitionBy("symbol").orderBy("__s").rangeBetween(1 - seconds, 0)
+    bar = F.struct(F.col("ts").alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"))
+    got = bars.withColumn("__s", F.unix_seconds(F.col("ts").cast("timestamp"))).select("symbol", "ts", F.sort_array(F.collect_list(bar).over(w)).alias("b"))
+    return _with_gaps(got, ["symbol", "ts"], every, bars_each, coverage)
 
 
 def _field(name: str):
@@ -252,6 +268,11 @@ def _wide(spark, d):
 ROLLED = [f"{b}_sign_agree_rollup" for b in ("macd_histogram", "roc", "price_deviation_vwap")] + ["rv_close_1h_over_4h_mag", "rv_close_4h_over_24h_mag", "adx_1h_minus_4h_mag", "adx_4h_minus_24h_mag", "roc_4h_over_24h_dir"]
 
 
+def q_metrics_dense(spark, d):
+    m = indicators(dense_windows(bars_h(spark, d), 86_400, "1 hour", 24), keep_short=True)
+    return m.select("symbol", "ts", F.round("window_coverage", 6).alias("window_coverage"), "window_ok", *[F.round(c, 5).alias(c) for c in ("close_mean", "close_stddev", "close_min", "close_max", "volume_sum")])
+
+
 def q_rollups(spark, d):
     return rollups(_wide(spark, d)).select("p_partkey", *[F.round(c, 5).alias(c) if "rollup" not in c else F.col(c) for c in ROLLED], *[f"{c}_valid" for c in ROLLED])
 
@@ -335,6 +356,10 @@ SQL = {
             CASE WHEN count(*) FILTER (ts > e24 - INTERVAL 24 HOUR AND ts <= e24) >= 19 THEN round((max_by(close, ts) FILTER (ts > e24 - INTERVAL 24 HOUR AND ts <= e24) / min_by(close, ts) FILTER (ts > e24 - INTERVAL 24 HOUR AND ts <= e24) - 1) * 100, 6) END AS roc_24h,
             count(*) FILTER (ts > e24 - INTERVAL 24 HOUR AND ts <= e24) >= 19 AS window_ok_24h, round(count(*) FILTER (ts > e6 - INTERVAL 6 HOUR AND ts <= e6) / 6, 6) AS window_coverage_6h
         FROM bars JOIN e USING (symbol) GROUP BY symbol""",
+    "metrics_dense": f"""WITH {BARS_H}, r AS (SELECT symbol, ts, count(*) OVER w AS n, avg(close) OVER w AS m, stddev_samp(close) OVER w AS s, min(close) OVER w AS lo, max(close) OVER w AS hi, sum(volume) OVER w AS v
+            FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND CURRENT ROW))
+        SELECT symbol, ts, round(n / 24, 6) AS window_coverage, n >= 19 AS window_ok, CASE WHEN n >= 19 THEN round(m, 5) END AS close_mean, CASE WHEN n >= 19 THEN round(s, 5) END AS close_stddev,
+            CASE WHEN n >= 19 THEN round(lo, 5) END AS close_min, CASE WHEN n >= 19 THEN round(hi, 5) END AS close_max, CASE WHEN n >= 19 THEN round(v, 5) END AS volume_sum FROM r""",
     "rollups": _rollups_sql(),
     "coverage_summary": f"WITH {BARS_H}, n AS (SELECT count(*) AS n FROM bars GROUP BY symbol, date_trunc('day', ts)) SELECT round(avg(n), 6) AS mean_rows, count(*) AS groups FROM n",
     "null_rate": f"WITH {_wide_sql()} SELECT round(sum((roc_1h IS NULL)::INT + (rv_close_1h_mag IS NULL)::INT + (adx_24h IS NULL)::INT) / (count(*) * 3), 9) AS null_rate FROM wide",

@@ -90,6 +90,12 @@ def history(bars: DataFrame, symbols: DataFrame, start: Column, symbol: str = "s
     return bars.where(F.col(ts) >= start).join(wanted, F.col(symbol) == F.col("__s"), "left_semi")
 
 
+def history_months(bars: DataFrame, symbols: DataFrame, asof: Column, months: int, symbol: str = "symbol", ts: str = "timestamp") -> DataFrame:
+    """Bars of the given symbols in (asof - months, asof], in calendar months with ends clamped."""
+    recent = history(bars, symbols, asof - F.make_ym_interval(F.lit(0), F.lit(months)), symbol, ts)
+    return recent.where((F.col(ts) > asof - F.make_ym_interval(F.lit(0), F.lit(months))) & (F.col(ts) <= asof))
+
+
 def leaders(spark: SparkSession, listed: Sequence[str] = (), table: DataFrame | None = None) -> DataFrame:
     """(symbol, place): symbols of a table's symbol column (or a synonym), then of a list, each at its first place."""
     from tickloom.operators.sets import distinct_in_order
