@@ -402,12 +402,18 @@ def test_sql_functions(spark):
 def test_jobs_from_bars_to_signals(spark, tmp_path):
     from tickloom.plans import jobs
 
-    rows = [r for k, s in enumerate("ABC") for r in make_bars(24 * 45, 20 + k, symbol=s)]
+    rows = [r for k, s in enumerate("AB") for r in make_bars(24 * 20, 20 + k, symbol=s)]
     b = spark.createDataFrame(rows, BAR)
-    found = jobs.run_all(b, str(tmp_path), F.lit(at(24 * 45)).cast("timestamp_ntz"), "1 hour", 1.0, sizes=(24,), cfg=imf.StageConfig(trials=2))
-    assert "overlaps" in found
-    assert spark.read.parquet(str(tmp_path / "overlaps" / "state")).count() == 3
-    assert spark.read.parquet(str(tmp_path / "overlaps" / "imf" / "summary")).select("symbol").distinct().count() == 3
+    asof = F.lit(at(24 * 20)).cast("timestamp_ntz")
+    found = jobs.run_leaderboards(b, str(tmp_path / "l"))
+    assert set(found) == {"losers", "gainers", "overlaps"} and spark.read.json(str(tmp_path / "l" / "overlaps_summary")).count() == 2
+    state = jobs.state_snapshot(b, str(tmp_path / "s"), sizes=(24,), every="1 hour", bar_hours=1.0, compare=("roc", "rsi", "rv_close"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2 and {"roc_24h_pctile", "roc_24h_imputed"} <= set(state.columns)
+    context = jobs.regime_job(b, str(tmp_path / "r"), asof, (7,))
+    jobs.imf_job(b, str(tmp_path / "i"), asof, 1, "1 hour", imf.StageConfig(trials=2))
+    assert spark.read.parquet(str(tmp_path / "i" / "summary")).select("symbol").distinct().count() == 2
+    jobs.rules_job(state, str(tmp_path / "x"), context.withColumns({"ma50_slope_30d_dir": F.lit(1.0), "ma200_slope_90d_dir": F.lit(1.0), "above_ma50_share_30d_pos": F.lit(1.0)}), overrides={"timeframes": ("24h",)})
+    assert (tmp_path / "x" / "signals").exists()
 
 
 def test_train_and_predict_jobs(spark, tmp_path):

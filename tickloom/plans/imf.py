@@ -113,22 +113,18 @@ def stage_features(bars: DataFrame, cfg: StageConfig = StageConfig()) -> DataFra
     return clean.withColumn("energy_share", F.col("energy") / (F.col("all_energy") + 1e-9)).drop("all_energy").withColumn("status", F.lit("ok"))
 
 
-def cluster_modes(features: DataFrame, prefix: dict[str, str] | None = None, least: int = 8) -> DataFrame:
-    """``cluster_id`` of each mode among its series' modes of all symbols, by log period and amplitude."""
-    names = prefix or {"price": "GP", "volume": "GV"}
+def cluster_modes(features: DataFrame, least: int = 8) -> DataFrame:
+    """``cluster_id`` (GP or GV and four digits) of each mode among its series' modes of all symbols, by log period and amplitude."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["symbol", "imf_id"], ignore_index=True)
         x = np.log(np.maximum(pdf[["period_days", "amp_pct"]].to_numpy(float), 1e-9))
         spread = x.std(axis=0)
-        return pdf[["symbol", "imf_id"]].assign(label=cluster.global_clusters((x - x.mean(axis=0)) / np.where(spread > 0, spread, 1), least))
-
-    parts = []
-    for series, p in names.items():
-        rows = features.where(F.col("series") == series)
-        labels = rows.groupBy("series").applyInPandas(run, "symbol string, imf_id int, label int")
-        parts.append(relabel(rows.join(labels, ["symbol", "imf_id"]), "label", p).drop("label"))
-    return parts[0].unionByName(parts[1])
+        return pdf[["symbol", "series", "imf_id"]].assign(label=cluster.global_clusters((x - x.mean(axis=0)) / np.where(spread > 0, spread, 1), least))
+
+    labels = features.groupBy("series").applyInPandas(run, "symbol string, series string, imf_id int, label int")
+    prefix = F.when(F.col("series") == "price", "GP").otherwise("GV")
+    return relabel(features.join(labels, ["symbol", "series", "imf_id"]), "label", prefix, ["series"]).drop("label")
 
 
 def asset_clusters(features: DataFrame, limit: float = 0.10) -> DataFrame:

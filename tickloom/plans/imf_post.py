@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -81,12 +81,13 @@ def cluster_cards(rows: DataFrame, cluster: str, examples: int = 5) -> DataFrame
     return cluster_stats(rows, cluster).join(best, cluster)
 
 
-def relabel(rows: DataFrame, cluster: str, prefix: str, period: str = "period_days", noise: int = -1) -> DataFrame:
+def relabel(rows: DataFrame, cluster: str, prefix: Column, by: Sequence[str] = (), period: str = "period_days", noise: int = -1) -> DataFrame:
     """``cluster_id``: prefix and four digits by size, then median period; each noise row a cluster of its own from 9001."""
-    sizes = rows.where(F.col(cluster) != noise).groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.median(period).alias("m"))
-    ids = sizes.select(cluster, F.row_number().over(Window.orderBy(F.desc("n"), "m", cluster)).alias("k"))
-    alone = rows.where(F.col(cluster) == noise).withColumn("k", 9000 + F.row_number().over(Window.orderBy(period, "symbol", "imf_id")))
-    return rows.join(F.broadcast(ids), cluster).unionByName(alone).withColumn("cluster_id", F.format_string(f"{prefix}%04d", "k")).drop("k")
+    sizes = rows.where(F.col(cluster) != noise).groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("n"), F.median(period).alias("m"))
+    within = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    ids = sizes.select(*by, cluster, F.row_number().over(within.orderBy(F.desc("n"), "m", cluster)).alias("k"))
+    alone = 9000 + F.row_number().over(Window.partitionBy(*by, cluster).orderBy(period, "symbol", "imf_id"))
+    return rows.join(ids, [*by, cluster], "left").withColumn("k", F.coalesce("k", alone)).withColumn("cluster_id", F.concat(prefix, F.format_string("%04d", "k"))).drop("k")
 
 
 def energy_shares(rows: DataFrame, keys: Sequence[str] = ("symbol", "series")) -> DataFrame:
@@ -131,7 +132,7 @@ def q_cluster_stats(spark, d):
 
 def q_cluster_relabel(spark, d):
     rows = _imf_rows(spark, d).where("period_days IS NOT NULL").withColumn("c", F.when(F.col("imf_id") % 50 == 0, -1).otherwise(F.col("cluster_size_global").cast("int")))
-    return relabel(rows, "c", "GP").select("imf_id", "cluster_id")
+    return relabel(rows, "c", F.lit("GP")).select("imf_id", "cluster_id")
 
 
 def q_energy_stubs(spark, d):

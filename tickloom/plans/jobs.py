@@ -34,23 +34,23 @@ def run_leaderboards(bars: DataFrame, out: str, top_n: int = 20, sizes: Sequence
     return found
 
 
-def state_snapshot(bars: DataFrame, out: str, past: DataFrame | None = None, sizes: Sequence[int] = (1, 4, 12, 24), every: str = "1 minute", bar_hours: float = 1 / 60, fine: str | None = None, impute: bool = True, compression: str = "snappy") -> DataFrame:
-    """The intraday snapshot, compared with baselines of ``past`` (the same bars unless given), imputed and written by day."""
-    snap = metrics.metrics_snapshot(bars, sizes, every, bar_hours, fine)
-    names = [metrics.column_name(m, f"{s}h") for s in sizes for m in metrics.METRICS]
+def state_snapshot(bars: DataFrame, out: str, past: DataFrame | None = None, sizes: Sequence[int] = (1, 4, 12, 24), every: str = "1 minute", bar_hours: float = 1 / 60, fine: str | None = None, impute: bool = True, compression: str = "snappy", compare: Sequence[str] = tuple(metrics.METRICS)) -> DataFrame:
+    """The intraday snapshot, its metrics ``compare`` set against baselines of ``past`` (the same bars unless given), imputed and written by day."""
+    snap = settle(metrics.metrics_snapshot(bars, sizes, every, bar_hours, fine), "snapshot")
+    names = [metrics.column_name(m, f"{s}h") for s in sizes for m in compare]
     series = [metrics.metrics_series(past if past is not None else bars, s, every, bar_hours) for s in sizes]
-    long = [baseline.to_long(x.select("symbol", *[F.col(m).alias(metrics.column_name(m, f"{s}h")) for m in metrics.METRICS]), [metrics.column_name(m, f"{s}h") for m in metrics.METRICS]) for s, x in zip(sizes, series)]
+    long = [baseline.to_long(x.select("symbol", *[F.col(m).alias(metrics.column_name(m, f"{s}h")) for m in compare]), [metrics.column_name(m, f"{s}h") for m in compare]) for s, x in zip(sizes, series)]
     every_one = long[0]
     for x in long[1:]:
         every_one = every_one.unionByName(x)
-    snap = baseline.enrich_wide(snap, baseline.build_baseline(every_one), names)
+    snap = settle(baseline.enrich_wide(snap, settle(baseline.build_baseline(every_one), "baseline"), names), "enriched")
     snap = baseline.impute_neutral(snap, "state") if impute else snap
     sinks.write_snapshot(snap, out, compression=compression)
     return snap
 
 
 def regime_job(bars: DataFrame, out: str, asof: Column, windows: Sequence[int] = (3, 7, 14, 30, 90), impute: bool = True, compression: str = "snappy") -> DataFrame:
-    snap = regime.regime_snapshot(bars, asof, windows)
+    snap = settle(regime.regime_snapshot(bars, asof, windows), "regime")
     snap = baseline.impute_neutral(snap, "regime") if impute else snap
     sinks.write_snapshot(snap, out, compression=compression)
     return snap
@@ -60,8 +60,8 @@ def imf_job(bars: DataFrame, out: str, asof: Column, months: int, every: str = "
     """Mode features of a look-back in calendar months, clustered over all symbols and within each, with cards."""
     symbols = bars.select("symbol").distinct()
     recent = history_months(bars.withColumnRenamed("ts", "timestamp"), symbols, asof, months).withColumnRenamed("timestamp", "ts")
-    features = imf.stage_features(grid.fill_bars(grid.on_grid(recent, every)), cfg)
-    done = imf.asset_clusters(imf.cluster_modes(features)).withColumn("asof", asof)
+    features = settle(imf.stage_features(grid.fill_bars(grid.on_grid(recent, every)), cfg), "mode-features")
+    done = settle(imf.asset_clusters(imf.cluster_modes(features)), "mode-clusters").withColumn("asof", asof)
     full = imf_post.with_stubs(symbols, done)
     full.write.mode("overwrite").parquet(f"{out}/summary")
     imf_post.cluster_cards(done, "cluster_id").write.mode("overwrite").json(f"{out}/cluster_cards")
