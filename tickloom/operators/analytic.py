@@ -46,8 +46,9 @@ def fill_forward(x: Column, w: WindowSpec) -> Column:
 
 
 def fill_both(x: Column, w: WindowSpec) -> Column:
-    """Forward, then backward for what comes before the first value."""
-    return F.coalesce(fill_forward(x, w), F.first(x, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    """Forward; what comes before the first value takes that one. (A frame that ends at the partition's end
+    and starts at each row would be computed anew for every row.)"""
+    return F.coalesce(fill_forward(x, w), F.first(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
 def longest_streak(df: DataFrame, keys: Sequence[str], order: str, holds: Column, name: str) -> DataFrame:

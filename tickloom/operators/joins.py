@@ -66,13 +66,14 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str
     """``left`` with the right row of the smallest time distance on either side, the earlier of two.
 
     Beyond ``tolerance`` seconds it is the key's latest row, or NULL without ``fallback``. The candidates
-    on both sides and the latest come from one pass over the merged sides."""
+    on both sides and the latest come from one shuffle of the merged sides."""
     rows = _merged(left, right, keys, left_ts, right_ts)
     w = Window.partitionBy(*keys).orderBy("__ts", "__side")
+    back = Window.partitionBy(*keys).orderBy(F.desc("__ts"), "__side")  # the same frame backwards: linear, as one towards the end is not
     found = rows.select(
         "__side", "__left", "__ts",
         F.last("__right", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("__b"),
-        F.first("__right", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("__f"),
+        F.last("__right", True).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias("__f"),
         F.last("__right", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__l"),
     ).where("__side = 1")
     away = lambda side: F.abs(_seconds(F.col("__ts")) - _seconds(F.col(f"{side}.{right_ts}")))
