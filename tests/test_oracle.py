@@ -3,6 +3,8 @@
 import glob
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -64,3 +66,9 @@ def test_the_engine_does_not_need_the_text_operators():
     for path in glob.glob(os.path.join(os.path.dirname(catalog.__file__), "..", "**", "*.py"), recursive=True):
         if f"{os.sep}llm{os.sep}" not in path:
             assert "tickloom.llm" not in open(path).read(), path
+
+
+def test_names_can_be_read_without_a_session():
+    root = os.path.abspath(os.path.join(os.path.dirname(catalog.__file__), "..", ".."))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, env={**os.environ, "PYTHONPATH": root})
