@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tickloom.llm.quality_rules import BELIEF, EXPECTED, default_rules
 
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -26,20 +28,13 @@ NEAR_DEDUP = f"""
     SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least.id AS component_id, s.doc_id = least.id AS kept FROM s JOIN (SELECT node, min(got) AS id FROM reach GROUP BY 1) least ON least.node = s.doc_id
 """
 
-#: The value of each default rule over the counts below.
-_VALUES = {
-    "symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / n_lines", "repeat_words": "n_repeat_words / n_words", "capitals": "n_upper / n_letters", "shouts": "n_shouts / n_words",
-    "runs": "n_runs / n_words", "few_words": "1 - n_distinct / n_words", "word_length": "word_chars / n_words", "prose": "n_symbols / n_words + n_upper / n_letters",
-}
-
-
 def quality_rules(rounds: int = 20) -> str:
     """Counts, votes, expectation-maximisation over the table of vote patterns, and the verdict."""
     rules = default_rules()
     digit = lambda i: f"(pattern // {3**i} % 3)"
     code = []
     for i, r in enumerate(rules):
-        value = f"({_VALUES[r.name].replace(' / n_words', '::DOUBLE / nullif(n_words, 0)').replace(' / n_letters', '::DOUBLE / nullif(n_letters, 0)').replace(' / n_lines', '::DOUBLE / nullif(n_lines, 0)')})"
+        value = "(" + re.sub(r"try_divide\((\w+), (\w+)\)", r"\1::DOUBLE / nullif(\2, 0)", r.value) + ")"
         test = f"WHEN {value} >= {r.reject}::DOUBLE THEN 0" if r.reject is not None else f"WHEN {value} <= {r.keep}::DOUBLE THEN 2"
         code.append(f"{3**i} * CASE WHEN n_words < {r.least} OR {value} IS NULL THEN 1 {test} ELSE 1 END")
     terms = []

@@ -27,17 +27,17 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes reject where ``value`` >= ``reject``, keep where it is <= ``keep``; abstains else, and below ``least`` words."""
+    """Votes by an SQL expression over the counts: reject where ``value`` >= ``reject``, keep where it is <= ``keep``; abstains else, and below ``least`` words."""
 
     name: str
-    value: Column
+    value: str
     reject: float | None = None
     keep: float | None = None
     least: int = 0
 
 
-def share(part: str, whole: str = "n_words") -> Column:
-    return F.try_divide(F.col(part), F.col(whole))
+def share(part: str, whole: str = "n_words") -> str:
+    return f"try_divide({part}, {whole})"
 
 
 def default_rules() -> list[Rule]:
@@ -48,9 +48,9 @@ def default_rules() -> list[Rule]:
         Rule("capitals", share("n_upper", "n_letters"), reject=0.4),
         Rule("shouts", share("n_shouts"), reject=0.2),
         Rule("runs", share("n_runs"), reject=0.3),
-        Rule("few_words", 1 - share("n_distinct"), reject=0.9, least=50),
+        Rule("few_words", f"1 - {share('n_distinct')}", reject=0.9, least=50),
         Rule("word_length", share("word_chars"), reject=25.0),
-        Rule("prose", share("n_symbols") + share("n_upper", "n_letters"), keep=0.1),
+        Rule("prose", f"{share('n_symbols')} + {share('n_upper', 'n_letters')}", keep=0.1),
     ]
 
 
@@ -113,9 +113,10 @@ def vote_code(rules: Sequence[Rule]) -> Column:
     """The votes as the digits of one number, the first rule's last: 0 reject, 1 abstain, 2 keep."""
     code = F.lit(0)
     for i, r in enumerate(rules):
-        vote = F.when((F.col("n_words") < r.least) | r.value.isNull(), 1)
-        vote = vote if r.reject is None else vote.when(r.value >= r.reject, 0)
-        vote = (vote if r.keep is None else vote.when(r.value <= r.keep, 2)).otherwise(1)
+        value = F.expr(r.value)
+        vote = F.when((F.col("n_words") < r.least) | value.isNull(), 1)
+        vote = vote if r.reject is None else vote.when(value >= r.reject, 0)
+        vote = (vote if r.keep is None else vote.when(value <= r.keep, 2)).otherwise(1)
         code = code + vote * 3**i
     return code.cast("int")
 
