@@ -233,6 +233,31 @@ def test_lm_scores_against_plain_python(spark):
     assert lm_scoring.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_lm_words_of_one_class_have_chances_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAD", 194)  # of the words that share a class, some are looked up, others joined
+    frequent = " ".join(f"w{k}" for k in range(lm_scoring.CLASSES - lm_scoring.SHARED))
+    rows = [(i, f"{frequent} {frequent} common river " + ("seldom" if i % 3 else "rare mud"), "en") for i in range(20)]
+    rows += [(50, "ΣΑΣ İx w1", "tr"), (51, "w2 zoomon river w1", "en"), (52, "w2 common river w1", "en"), (53, None, "en"), (None, "w1 rare", "en"), (51, "w2 zoomon river w1", "en")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    counts = {r["word"]: r["n"] for r in lm_scoring.word_counts(docs).collect()}
+    own, classes = set(frequent.split()), collections.Counter()
+    for w, n in counts.items():
+        classes[w if w in own else lm_scoring.shape_class(w)] += n
+    coded = lm_scoring.encode_classes(docs)
+    plain = {r["doc_id"]: r for r in coded.mapInArrow(lm_scoring._score(lm_scoring.train(coded).tobytes()), "doc_id bigint, n_words bigint, log_likelihood double").collect()}
+    out = lm_scoring.lm_scores(docs).collect()
+    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(r[0] for r in rows)
+    by_id = {r["doc_id"]: r for r in out}
+    for i, words in docs.select("doc_id", F.split(F.lower(F.coalesce("text", F.lit(""))), " ")).collect():
+        words = [w for w in words if w]
+        shares = sum(math.log(counts[w] / classes[lm_scoring.shape_class(w)]) for w in words if w not in own)
+        assert by_id[i]["n_words"] == len(words)
+        assert by_id[i]["log_likelihood"] == pytest.approx(plain[i]["log_likelihood"] + shares, rel=1e-3)
+    # these words share their class and have the same neighbours
+    assert lm_scoring.shape_class("zoomon") == lm_scoring.shape_class("common")
+    assert by_id[52]["log_likelihood"] - by_id[51]["log_likelihood"] == pytest.approx(math.log(counts["common"] / counts["zoomon"]), rel=1e-3)
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(1)
     codes = np.cumsum(rng.integers(1, 3, 20000)).astype("int64") % 50

@@ -5,7 +5,9 @@ row of its class in that position's table, and a softmax over the sum gives the
 the middle. A document's score is the sum of the conditional log-probabilities of all its words.
 
 Classes come from counts of all words of the corpus: the most frequent words have one each, others
-share one by their shape. Training is data-parallel in numpy: every task passes over its part of the
+share one by their shape. A word that shares its class has the chance of the class times its share of the
+class's words in the corpus, so the vocabulary is the corpus's and every word has a chance of its own. Counts
+of the ``HEAD`` most frequent words go out with the code that looks classes up; the others are joined. Training is data-parallel in numpy: every task passes over its part of the
 corpus from shared weights, taking ``STRIDE`` apart positions of every document, and the weights are
 averaged, weighted by positions, in two levels; ``ROUNDS`` times. What it gathers (counts, and weights of
 each task) grows with the corpus.
@@ -28,14 +30,16 @@ from tickloom.llm.tokens import slices
 CLASSES, SHARED, PAD = 255, 63, 255
 AROUND = (-2, -1, 1, 2)
 WIDTH, STRIDE, ROUNDS, BATCH, RATE = 16, 16, 2, 512, 0.1
+HEAD = 1 << 15
 BLANK = "[\\x20\\x09-\\x0D]+"
 SIZES = (len(AROUND) * (PAD + 1) * WIDTH, WIDTH * CLASSES, CLASSES)
 
 
 def split_words(text: str) -> list[str]:
+    """Words of a text that Spark has lower-cased, as ``word_counts`` has them."""
     for blank in "\t\n\v\f\r":
         text = text.replace(blank, " ")
-    return [w for w in text.lower().split(" ") if w]
+    return [w for w in text.split(" ") if w]
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -107,15 +111,20 @@ class WordClasses(dict):
         return found
 
 
-def _code(classes: dict[str, int]):
+def _code(classes: dict[str, int], logs: dict[str, float]):
+    """The last column, a text, becomes the sum of the known logarithms of its words, the words without one and the codes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordClasses(classes)
         for b in batches:
             for at, texts in slices(b.column(b.num_columns - 1)):
                 if len(known) > 500_000:
                     known = WordClasses(classes)
-                codes = pa.array([bytes(map(known.__getitem__, split_words(t))) for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in b.columns[:-1]), codes], [*b.schema.names[:-1], "codes"])
+                words = [split_words(t) for t in texts]
+                sums = pa.array([sum([logs.get(w, 0.0) for w in ws]) for ws in words], pa.float64())
+                rare = pa.array([[w for w in ws if w not in logs] for ws in words], pa.list_(pa.string()))
+                codes = pa.array([bytes(map(known.__getitem__, ws)) for ws in words], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in b.columns[:-1]), sums, rare, codes], [*b.schema.names[:-1], "__logs", "__rare", "codes"])
 
     return run
 
@@ -174,7 +183,27 @@ def train(coded: DataFrame) -> np.ndarray:
     return weights
 
 
-def _score(flat: bytes):
+def _count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = np.zeros(CLASSES, "int64")
+    for b in batches:
+        for codes in b.column(0):
+            found += np.bincount(np.frombuffer(codes.as_py(), "uint8"), minlength=CLASSES)
+    yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(found)], ["code", "n"])
+
+
+def class_logs(coded: DataFrame) -> np.ndarray:
+    """Of every class that words share, the logarithm of how many words of the corpus it has; 0 of others."""
+    out = np.zeros(CLASSES)
+    sizes = coded.select("codes").mapInArrow(_count_codes, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    for r in sizes.where("n > 0").collect():
+        if r["code"] >= CLASSES - SHARED:
+            out[r["code"]] = np.log(r["n"])
+    return out
+
+
+def _score(flat: bytes, shared: np.ndarray | None = None):
+    """Sums over the ``codes`` of the last column; with ``shared``, less these logarithms of their classes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = unpack(np.frombuffer(flat, "float32"))
         for b in batches:
@@ -189,6 +218,8 @@ def _score(flat: bytes):
                 if held:
                     around, target = np.concatenate([neighbours(c) for c in codes[at:upto]]), np.concatenate(codes[at:upto])
                     parts = np.concatenate([log_chances(weights, around[i : i + 2048], target[i : i + 2048]) for i in range(0, held, 2048)]).astype("float64")
+                    if shared is not None:
+                        parts -= shared[target]
                     ends = np.cumsum([0, *counts[at:upto]])
                     upto_sum = np.concatenate([[0.0], np.cumsum(parts)])
                     sums += (upto_sum[ends[1:]] - upto_sum[ends[:-1]]).tolist()
@@ -201,14 +232,22 @@ def _score(flat: bytes):
     return run
 
 
+def encode_words(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """Two tables, written once as several passes read them: rows of ``carry`` columns and ``codes``, a byte for
+    each word's class, with the parts of their words' logarithms; and (word, n) of the corpus."""
+    counts = settle(word_counts(docs, text_col), "word-counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    classes = {r["word"]: i for i, r in enumerate(top[: CLASSES - SHARED])}
+    logs = {r["word"]: 0.0 if r["word"] in classes else float(np.log(r["n"])) for r in top}
+    rows = docs.select(*carry, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + ["__logs double, __rare array<string>, codes binary"])
+    coded = rows.mapInArrow(_code(classes, logs), schema).select(F.monotonically_increasing_id().alias("__row"), "*")
+    return settle(coded, "word-classes"), counts
+
+
 def encode_classes(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns and ``codes``, a byte for each word's class, written once as several passes read them."""
-    counts = word_counts(docs, text_col)
-    top = counts.orderBy(F.desc("n"), "word").limit(CLASSES - SHARED).collect()
-    classes = {r["word"]: i for i, r in enumerate(top)}
-    rows = docs.select(*carry, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + ["codes binary"])
-    return settle(rows.mapInArrow(_code(classes), schema), "word-classes")
+    """``carry`` columns and ``codes``."""
+    return encode_words(docs, text_col, carry)[0].drop("__row", "__logs", "__rare")
 
 
 def lm_scores(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -217,7 +256,11 @@ def lm_scores(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] =
     A null or empty text has no words, a sum of 0 and a null mean. Rows that repeat score alike; an empty
     table gives an empty result; of clashing names, the columns made here win."""
     carry = tuple(c for c in carry if c not in ("codes", "n_words", "log_likelihood", "mean_log_likelihood"))
-    coded = encode_classes(docs, text_col, carry)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema[:-1]] + ["n_words bigint", "log_likelihood double"])
-    scored = coded.mapInArrow(_score(train(coded).tobytes()), schema)
-    return scored.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_words"))
+    coded, counts = encode_words(docs, text_col, carry)
+    rare = coded.select(F.col("__row").alias("__r"), F.explode("__rare").alias("word")).join(counts, "word")
+    rare = rare.groupBy("__r").agg(F.sum(F.ln("n")).alias("__rare_logs"))
+    rows = coded.drop("__rare")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + ["n_words bigint", "log_likelihood double"])
+    scored = rows.mapInArrow(_score(train(coded).tobytes(), class_logs(coded)), schema).join(rare, F.col("__row") == F.col("__r"), "left")
+    scored = scored.withColumn("log_likelihood", F.col("log_likelihood") + F.col("__logs") + F.coalesce("__rare_logs", F.lit(0.0)))
+    return scored.select(*carry, "n_words", "log_likelihood", F.try_divide("log_likelihood", "n_words").alias("mean_log_likelihood"))
