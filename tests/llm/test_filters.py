@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +259,21 @@ def test_lm_words_of_one_class_have_chances_of_their_own(spark, monkeypatch):
     assert by_id[52]["log_likelihood"] - by_id[51]["log_likelihood"] == pytest.approx(math.log(counts["common"] / counts["zoomon"]), rel=1e-3)
 
 
+def test_every_position_trains():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 255, n).astype("uint8") for n in (0, 1, 2, 15, 16, 17, 40, 333, *range(60))]
+    texts += texts[7:8]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], ["codes"])
+    start = lm_scoring.start_weights().tobytes()
+    assert sum(b.column(1)[0].as_py() for k in range(lm_scoring.ROUNDS) for b in lm_scoring._train(start, k)(iter([batch]))) == sum(map(len, texts))
+    wanted = collections.Counter((*a, c) for t in texts if len(t) for a, c in zip(lm_scoring.neighbours(t).tolist(), t.tolist()))
+    found = collections.Counter()
+    for k in range(lm_scoring.ROUNDS):
+        around, target = lm_scoring.round_positions([t.tobytes() for t in texts], k)
+        found.update((*a, c) for a, c in zip(around.tolist(), target.tolist()))
+    assert found == wanted
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(1)
     codes = np.cumsum(rng.integers(1, 3, 20000)).astype("int64") % 50

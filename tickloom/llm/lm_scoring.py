@@ -9,7 +9,8 @@ share one by their shape. A word that shares its class has the chance of the cla
 class's words in the corpus, so the vocabulary is the corpus's and every word has a chance of its own. Counts
 of the ``HEAD`` most frequent words go out with the code that looks classes up; the others are joined. Training is data-parallel in numpy: every task passes over its part of the
 corpus from shared weights, taking ``STRIDE`` apart positions of every document, and the weights are
-averaged, weighted by positions, in two levels; ``ROUNDS`` times. What it gathers (counts, and weights of
+averaged, weighted by positions, in two levels. Rounds go through all offsets, so every position of every
+document trains once. What it gathers (counts, and weights of
 each task) grows with the corpus.
 """
 
@@ -29,7 +30,8 @@ from tickloom.llm.tokens import slices
 
 CLASSES, SHARED, PAD = 255, 63, 255
 AROUND = (-2, -1, 1, 2)
-WIDTH, STRIDE, ROUNDS, BATCH, RATE = 16, 16, 2, 512, 0.1
+WIDTH, STRIDE, BATCH, RATE = 16, 16, 512, 0.1
+ROUNDS = STRIDE
 HEAD = 1 << 15
 BLANK = "[\\x20\\x09-\\x0D]+"
 SIZES = (len(AROUND) * (PAD + 1) * WIDTH, WIDTH * CLASSES, CLASSES)
@@ -70,6 +72,17 @@ def neighbours(codes: np.ndarray) -> np.ndarray:
     return np.stack([padded[2 + o : 2 + o + len(codes)] for o in AROUND], axis=1)
 
 
+def exponentials(logits: np.ndarray) -> tuple[np.ndarray | float, np.ndarray]:
+    """Replaces ``logits`` by their exponentials, less their rows' maxima if some are too large; those maxima and the rows' sums."""
+    top = 0.0
+    if max(logits.max(), -logits.min()) > 60:
+        top = logits.max(axis=1, keepdims=True)
+        logits -= top
+        top = top[:, 0]
+    np.exp(logits, out=logits)
+    return top, logits @ np.ones(logits.shape[1], logits.dtype)
+
+
 def log_chances(weights: tuple, around: np.ndarray, target: np.ndarray) -> np.ndarray:
     tables, out, bias = weights
     hidden = tables[0][around[:, 0]]
@@ -78,29 +91,46 @@ def log_chances(weights: tuple, around: np.ndarray, target: np.ndarray) -> np.nd
     logits = hidden @ out
     logits += bias
     found = logits[np.arange(len(target)), target]
-    top = logits.max(axis=1)
-    logits -= top[:, None]
-    np.exp(logits, out=logits)
-    return found - top - np.log(logits.sum(axis=1))
+    top, sums = exponentials(logits)
+    return found - top - np.log(sums)
+
+
+def add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each of ``rows`` to its row of ``table``."""
+    order = np.argsort(at, kind="stable")
+    found = at[order]
+    begins = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    table[found[begins]] += np.add.reduceat(rows[order], begins, axis=0)
 
 
 def train_step(weights: tuple, squares: tuple, around: np.ndarray, target: np.ndarray) -> None:
     """One AdaGrad step in place."""
     tables, out, bias = weights
     hidden = sum(tables[k][around[:, k]] for k in range(len(AROUND)))
-    logits = hidden @ out + bias
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(target)), target] -= 1
-    p /= len(target)
+    p = hidden @ out
+    p += bias
+    p *= 1 / (exponentials(p)[1] * len(target))[:, None]
+    p[np.arange(len(target)), target] -= 1 / len(target)
     to_hidden = p @ out.T
-    grads = (np.zeros_like(tables), hidden.T @ p, p.sum(axis=0))
+    grads = (np.zeros_like(tables), hidden.T @ p, np.ones(len(target), p.dtype) @ p)
     for k in range(len(AROUND)):
-        np.add.at(grads[0][k], around[:, k], to_hidden)
+        add_rows(grads[0][k], around[:, k], to_hidden)
     for w, s, g in zip(weights, squares, grads):
         s += g * g
-        w -= RATE * g / (np.sqrt(s) + 1e-6)
+        g *= RATE
+        g /= np.sqrt(s) + 1e-6
+        w -= g
+
+
+def round_positions(texts: list[bytes], round_: int) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours and targets of the positions that train in a round: of each text, one offset by its content and the round."""
+    lengths = np.asarray([len(t) for t in texts], "int64")
+    first = np.asarray([(zlib.crc32(t) + round_) % STRIDE for t in texts], "int64")
+    n = np.maximum(0, -(-(lengths - first) // STRIDE))
+    begins = 2 + np.cumsum(lengths + 2) - (lengths + 2) + first
+    at = np.repeat(begins - STRIDE * (np.cumsum(n) - n), n) + STRIDE * np.arange(int(n.sum()))
+    stream = np.frombuffer(bytes([PAD, PAD]).join([b"", *texts, b""]), "uint8")
+    return np.stack([stream[at + o] for o in AROUND], axis=1), stream[at]
 
 
 class WordClasses(dict):
@@ -142,14 +172,11 @@ def _train(start: bytes, round_: int):
                 train_step(weights, squares, a[order[i : i + BATCH]], t[order[i : i + BATCH]])
 
         for b in batches:
-            for codes in b.column(0):
-                codes = np.frombuffer(codes.as_py(), "uint8")
-                at = np.arange((zlib.crc32(codes.tobytes()) + round_) % STRIDE, len(codes), STRIDE)
-                if not len(at):
-                    continue
-                around.append(neighbours(codes)[at])
-                target.append(codes[at])
-                held, seen = held + len(at), seen + len(at)
+            for at in range(0, b.num_rows, 64):
+                a, t = round_positions(b.column(0).slice(at, 64).to_pylist(), round_)
+                around.append(a)
+                target.append(t)
+                held, seen = held + len(t), seen + len(t)
                 if held >= 32 * BATCH:
                     learn()
                     around, target, held = [], [], 0
