@@ -174,6 +174,32 @@ def test_near_dedup_against_all_pairs(spark, monkeypatch):
     assert near_dedup.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_the_pipeline_drops_near_copies_from_eighty_percent_on(spark):
+    import corpus_pipeline
+
+    bases = [prose(2000 + g, 100) for g in range(40)]
+    rows = [(g, t, "en") for g, t in enumerate(bases)] + [(100 + g, edited(t, g, 1 + g % 4), "en") for g, t in enumerate(bases)]
+    alike = {g: len(word_set(t) & word_set(rows[40 + g][1])) / len(word_set(t) | word_set(rows[40 + g][1])) for g, t in enumerate(bases)}
+    assert sum(0.8 <= x < 0.85 for x in alike.values()) > 5 and sum(x < 0.8 for x in alike.values()) > 5
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert {r["doc_id"] for r in out} == set(range(40)) | {100 + g for g, x in alike.items() if x < 0.8}
+
+
+def test_bands_and_screen_follow_the_threshold():
+    rng = np.random.default_rng(4)
+    for percent in (80, 82, 85, 95):
+        bands, rows, screen = near_dedup.scheme(percent)
+        assert (1 - (percent / 100) ** rows) ** bands < 1.1e-6
+        n, found = bands * rows, []
+        for _ in range(300):
+            both = rng.integers(0, 1 << 63, 1000).astype("uint64")
+            apart = round(1000 * (100 - percent) / percent / 2)
+            a, b = (np.concatenate([both, rng.integers(0, 1 << 63, apart).astype("uint64")]) for _ in range(2))
+            bits = [np.frombuffer(near_dedup.odd_sketch(near_dedup.samples(x, n)), "uint64") for x in (a, b)]
+            found.append(near_dedup.similarity(np.bitwise_count(bits[0] ^ bits[1]).sum(), n))
+        assert np.mean(found) - 5 * np.std(found) > screen
+
+
 def test_odd_sketches_estimate_high_similarity():
     base = np.arange(1, 2001, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
     other = np.concatenate([base[:1900], base[:100] ^ np.uint64(77)])

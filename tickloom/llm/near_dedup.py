@@ -1,6 +1,6 @@
 """Near-duplicate groups by MinHash bands and odd sketches.
 
-1. Every distinct shingle set gets ``BANDS * ROWS`` MinHash samples. Rows of samples hash to band keys;
+1. Every distinct shingle set gets ``BANDS * ROWS`` MinHash samples (more for a threshold under 0.85). Rows of samples hash to band keys;
    the samples also fold into an odd sketch, a bitmap of parities, whose XOR with another's counts the
    samples that differ.
 2. Sets that share a band key form a bucket. A bucket names as its leader the member with most company
@@ -11,8 +11,8 @@
    leaves a block is a forest of confirmed links, never all pairs.
 4. Star contraction turns the links into components.
 
-A pair at the threshold of 0.85 shares no band with a chance of 1e-6; the sketch screen lies six
-standard deviations under the threshold. Equal sets are one node throughout.
+A pair at the threshold shares no band with a chance of at most 1e-6, at 0.85 as at 0.80; the sketch screen
+lies six standard deviations under the threshold. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -33,53 +33,64 @@ from tickloom.llm.tokens import slices
 BANDS, ROWS, BITS = 36, 7, 1024
 BLOCK = 256
 _U = np.uint64
-_A, _B = randoms(BANDS * ROWS, 21) | _U(1), randoms(BANDS * ROWS, 22)
-_JOIN, _BAND, _SAMPLE = randoms(ROWS, 23) | _U(1), randoms(BANDS, 24), randoms(BANDS * ROWS, 25)
+#: Bands, rows and screen for thresholds of so many percent and more.
+SCHEMES = {85: (BANDS, ROWS, 0.7), 80: (48, 6, 0.64)}
+_MOST = max(b * r for b, r, _ in SCHEMES.values())
+_A, _B = randoms(_MOST, 21) | _U(1), randoms(_MOST, 22)
+_JOIN, _BAND, _SAMPLE = randoms(ROWS, 23) | _U(1), randoms(max(b for b, _, _ in SCHEMES.values()), 24), randoms(_MOST, 25)
 
 
-def samples(hashes: np.ndarray) -> np.ndarray:
+def scheme(percent: int) -> tuple[int, int, float]:
+    """Bands, rows and screen for a threshold."""
+    return SCHEMES[max((p for p in SCHEMES if p <= percent), default=min(SCHEMES))]
+
+
+def samples(hashes: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
     """The MinHash samples of a shingle set."""
     with np.errstate(over="ignore"):
-        parts = [(hashes[i : i + 2048, None] * _A + _B).min(axis=0) for i in range(0, len(hashes), 2048)]
+        parts = [(hashes[i : i + 2048, None] * _A[:n] + _B[:n]).min(axis=0) for i in range(0, len(hashes), 2048)]
     return parts[0] if len(parts) == 1 else np.min(parts, axis=0)
 
 
-def band_keys(sample: np.ndarray) -> np.ndarray:
+def band_keys(sample: np.ndarray, rows: int = ROWS) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix((sample.reshape(BANDS, ROWS) * _JOIN).sum(axis=1, dtype="uint64") + _BAND).view("int64")
+        return mix((sample.reshape(-1, rows) * _JOIN[:rows]).sum(axis=1, dtype="uint64") + _BAND[: len(sample) // rows]).view("int64")
 
 
 def odd_sketch(sample: np.ndarray) -> bytes:
     """Bit i holds whether an odd number of samples hash to i."""
     with np.errstate(over="ignore"):
-        at = mix(sample + _SAMPLE) % _U(BITS)
+        at = mix(sample + _SAMPLE[: len(sample)]) % _U(BITS)
     return np.packbits(np.bincount(at.astype("int64"), minlength=BITS).astype("uint8") & 1).tobytes()
 
 
-def similarity(differing: np.ndarray | float) -> np.ndarray | float:
-    """The Jaccard similarity that so many differing bits of two odd sketches speak for."""
-    return 1 + BITS / (4 * BANDS * ROWS) * np.log(np.maximum(1 - 2 * np.asarray(differing) / BITS, 1e-9))
+def similarity(differing: np.ndarray | float, n: int = BANDS * ROWS) -> np.ndarray | float:
+    """The Jaccard similarity that so many differing bits of two odd sketches of ``n`` samples speak for."""
+    return 1 + BITS / (4 * n) * np.log(np.maximum(1 - 2 * np.asarray(differing) / BITS, 1e-9))
 
 
-def most_differing(least: float) -> int:
-    return int(np.flatnonzero(similarity(np.arange(BITS // 2)) >= least)[-1])
+def most_differing(least: float, n: int = BANDS * ROWS) -> int:
+    return int(np.flatnonzero(similarity(np.arange(BITS // 2), n) >= least)[-1])
 
 
 SIGNED = "digest binary, n_shingles bigint, bands array<bigint>, sketch binary"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at, texts in slices(b.column(b.num_columns - 1), 1 << 20):
-            digest, n, bands, sketch = [], [], [], []
-            for s in shingle_sets(texts):
-                n.append(len(s))
-                sample = samples(s) if len(s) else None
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(band_keys(sample) if len(s) else None)
-                sketch.append(odd_sketch(sample) if len(s) else None)
-            made = [pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in b.columns[:-1]), *made], [*b.schema.names[:-1], "digest", "n_shingles", "bands", "sketch"])
+def _sign(n: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, texts in slices(b.column(b.num_columns - 1), 1 << 20):
+                digest, sizes, bands, sketch = [], [], [], []
+                for s in shingle_sets(texts):
+                    sizes.append(len(s))
+                    sample = samples(s, n) if len(s) else None
+                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    bands.append(band_keys(sample, rows) if len(s) else None)
+                    sketch.append(odd_sketch(sample) if len(s) else None)
+                made = [pa.array(digest, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in b.columns[:-1]), *made], [*b.schema.names[:-1], "digest", "n_shingles", "bands", "sketch"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +119,8 @@ def group_links(nodes: list[int], sketches: list[bytes], hashes: list[bytes], pe
         return sets[x]
 
     bits = np.frombuffer(b"".join(sketches), "uint64").reshape(len(nodes), BITS // 64)
-    limit, found = most_differing(screen), []
+    bands, rows, _ = scheme(percent)
+    limit, found = most_differing(screen, bands * rows), []
     for x in range(len(nodes) - 1):
         apart = np.bitwise_count(bits[x + 1 :] ^ bits[x]).sum(axis=1, dtype="int64")
         rest = sizes[x + 1 :]
@@ -158,17 +170,19 @@ def _links(percent: int, screen: float):
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, screen: float = 0.7) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, screen: float | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept, text_hash), one row per row of ``docs``.
 
     Texts whose shingle sets have 100 * intersection >= ``percent`` * union are linked; ``component_id`` is
     the smallest id reachable. Null and empty texts have no shingles, link with nothing and are kept. A
     null id is never a component's id unless the component has no other; a row is kept if its id equals
     its component's, so rows that repeat an id with one text are kept together. ``percent`` below 80
-    would need more bands. An empty table gives an empty result."""
+    would need more bands; ``screen`` follows it. An empty table gives an empty result."""
+    bands, per_band, lowest = scheme(percent)
+    screen = lowest if screen is None else screen
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    signed = settle(rows.mapInArrow(_sign, f"id bigint, text_hash bigint, {SIGNED}").withColumn("node", F.monotonically_increasing_id()), "signed")
+    signed = settle(rows.mapInArrow(_sign(bands * per_band, per_band), f"id bigint, text_hash bigint, {SIGNED}").withColumn("node", F.monotonically_increasing_id()), "signed")
     own = settle(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("node").alias("set_node"), F.min("id").alias("least_id")), "sets")
     alone = signed.join(own.select("set_node"), signed["node"] == F.col("set_node")).drop("set_node")
     alone = settle(alone.select("node", "id", "text_hash", "bands", "sketch"), "distinct-sets")
