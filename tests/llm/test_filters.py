@@ -238,6 +238,15 @@ def test_url_filters(spark):
     assert {r["listed"] for r in url_filters.filter_captures(captures, entries.limit(0)).collect()} == {False}
 
 
+def test_url_filters_look_up_every_level(spark):
+    entries = spark.createDataFrame([("a", "example.org", "add", day(1)), ("a", "d.e.f.example.org", "add", day(5))], "list string, pattern string, action string, at timestamp_ntz")
+    urls = ["http://a.b.c.d.e.f.example.org/", "http://a.b.c.d.e.g.example.org/", "http://a.b.c.d.e.f.notexample.org/", "http://" + "x." * 40 + "example.org/"]
+    captures = spark.createDataFrame([(u, day(d)) for u in urls for d in (0, 3, 6)], "url string, fetched_at timestamp_ntz")
+    out = {(r["url"], r["fetched_at"]): r["pattern"] for r in url_filters.filter_captures(captures, entries).collect()}
+    found = [[None, "example.org", "d.e.f.example.org"], [None, "example.org", "example.org"], [None] * 3, [None, "example.org", "example.org"]]
+    assert out == {(u, day(d)): p for u, ps in zip(urls, found) for d, p in zip((0, 3, 6), ps)}
+
+
 def test_lm_scores_against_plain_python(spark):
     rows = awkward() + [(100 + i, prose(i, 200), "en") for i in range(40)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("n_words", F.lit("clash")).repartition(2)

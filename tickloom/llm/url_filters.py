@@ -2,9 +2,9 @@
 
 List entries are dated: each adds or removes a host pattern. Per list and pattern they become validity
 intervals, and every capture is evaluated against the entries active when it was fetched. A pattern
-matches its host and all hosts below it. The list goes one row per pattern with its intervals in order,
-so each level of a host is one equality join that adds no rows and that Spark can split on a hot host;
-the as-of step is an expression over the joined intervals.
+matches its host and all hosts below it. Every distinct host is looked up at all its levels, however deep, by
+one equality join with the patterns; what it finds goes into one row per host, so that the join with the
+captures adds no rows and Spark can split it on a hot host. The as-of step is an expression over that row.
 """
 
 from __future__ import annotations
@@ -37,26 +37,27 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return closed.where("valid_to IS NULL OR valid_to > at").select("list", "pattern", F.col("at").alias("valid_from"), "valid_to")
 
 
-def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at", levels: int = 5) -> DataFrame:
+def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """``captures`` with ``host``, ``listed``, ``list``, ``pattern`` and ``valid_from`` of the deciding entry.
 
     The most specific pattern with an interval that holds the fetch time decides (``valid_from`` <= time <
     ``valid_to``); of its intervals, the latest begun, then the first list by name. Hosts are looked up at
-    up to ``levels`` levels from the host itself upwards, single labels excluded. A null or relative URL
+    all levels from the host itself upwards, single labels excluded. A null or relative URL
     or a null time matches nothing. Repeated rows pass through; columns named like the result's are
     replaced. An empty list or table gives no matches or no rows."""
     made = ["host", "listed", "list", "pattern", "valid_from"]
-    rows = captures.drop(*made).withColumn("host", url_host(F.col(url_col))).withColumn("__labels", F.split("host", "\\."))
+    rows = captures.drop(*made).withColumn("host", url_host(F.col(url_col)))
     by_pattern = validity_intervals(entries).groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("valid_from", "valid_to", "list"))).cast(INTERVAL).alias("intervals"))
-    best = F.lit(None).cast("struct<pattern:string,list:string,valid_from:timestamp_ntz>")
-    found = []
-    for level in range(levels):
-        name = f"__p{level}"
-        part = F.slice("__labels", level + 1, F.greatest(F.size("__labels"), F.lit(1)))
-        rows = rows.withColumn(name, F.when(F.size("__labels") - level >= 2, F.array_join(part, ".")))
-        rows = rows.join(by_pattern.select(F.col("pattern").alias(f"{name}k"), F.col("intervals").alias(f"{name}i")), F.col(name) == F.col(f"{name}k"), "left")
-        active = F.filter(f"{name}i", lambda x: (x["valid_from"] <= F.col(time_col)) & (x["valid_to"].isNull() | (F.col(time_col) < x["valid_to"])))
+    hosts = rows.select(F.col("host").alias("__host")).where("__host IS NOT NULL").distinct().withColumn("__labels", F.split("__host", "\\."))
+    tried = hosts.where(F.size("__labels") >= 2).withColumn("level", F.explode(F.sequence(F.lit(1), F.size("__labels") - 1)))
+    tried = tried.select("__host", "level", F.array_join(F.slice("__labels", F.col("level"), F.size("__labels")), ".").alias("pattern"))
+    found = tried.join(by_pattern, "pattern").groupBy("__host").agg(F.sort_array(F.collect_list(F.struct("level", "pattern", "intervals"))).alias("__found"))
+
+    def deciding(entry: Column) -> Column:
+        active = F.filter(entry["intervals"], lambda x: (x["valid_from"] <= F.col(time_col)) & (x["valid_to"].isNull() | (F.col(time_col) < x["valid_to"])))
         last = F.aggregate(active, F.lit(None).cast("struct<valid_from:timestamp_ntz,valid_to:timestamp_ntz,list:string>"), lambda a, x: F.when(a.isNull() | (x["valid_from"] > a["valid_from"]) | ((x["valid_from"] == a["valid_from"]) & (x["list"] < a["list"])), x).otherwise(a))
-        found.append(F.when(last.isNotNull(), F.struct(F.col(name).alias("pattern"), last["list"].alias("list"), last["valid_from"].alias("valid_from"))))
-    rows = rows.withColumn("__hit", F.coalesce(*found, best))
+        return F.struct(entry["pattern"].alias("pattern"), last["list"].alias("list"), last["valid_from"].alias("valid_from"))
+
+    rows = rows.join(found, F.col("host") == F.col("__host"), "left")
+    rows = rows.withColumn("__hit", F.get(F.filter(F.transform("__found", deciding), lambda x: x["list"].isNotNull()), F.lit(0)))
     return rows.select(*[c for c in captures.columns if c not in made], "host", F.col("__hit").isNotNull().alias("listed"), F.col("__hit.list").alias("list"), F.col("__hit.pattern").alias("pattern"), F.col("__hit.valid_from").alias("valid_from"))
