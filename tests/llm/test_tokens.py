@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.cases import SCHEMA, awkward
 from tickloom.llm import bfd_packing, byte_bpe, edit_counts, harmonic_packing
-from tickloom.llm.tokens import byte_encoder, word_encoder
+from tickloom.llm.tokens import CHUNK, byte_encoder, word_encoder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -168,6 +168,23 @@ def test_edits_count_like_encoding_again(text, edits):
         assert tree.total == len(encoder.encode([text])[0]) // 4
 
 
+def test_edits_cut_white_space_like_the_whole_text():
+    def chunks(text, *edit):
+        tree = edit_counts.TokenTree(text, lambda found: [1] * len(found))
+        tree.edit(*edit)
+        return [c for block in tree.blocks for c in block[0]], tree.total
+
+    rng = random.Random(6)
+    cases = [("a \nx", 3, 4, ""), ("a \nx", 3, 4, "\t"), ("a \n \nx b", 5, 6, " ")]
+    for _ in range(2000):
+        text = "".join(rng.choice("ab \n\t") for _ in range(rng.randint(1, 12)))
+        start, end = sorted(rng.randint(0, len(text)) for _ in range(2))
+        cases.append((text, start, end, "".join(rng.choice("a \n") for _ in range(rng.randint(0, 3)))))
+    for text, start, end, new in cases:
+        whole = CHUNK.findall(text[:start] + new + text[end:])
+        assert chunks(text, start, end, new) == (whole, len(whole)), (text, start, end, new)
+
+
 def test_an_edit_encodes_little():
     text = " ".join(f"word{i}" for i in range(20000))
     tree = edit_counts.TokenTree(text, edit_counts.counter(byte_encoder(RANKS)))

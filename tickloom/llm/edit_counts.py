@@ -86,10 +86,12 @@ class TokenTree:
         first, last = self._find(start), self._find(max(start, end - 1))
         left, right = first[:2], last[:2]
         head, tail = first[2], end - start
-        # one whole chunk before, as its end is decided by what follows it
-        if step := self._step(*left, -1):
+        # whole chunks before, back to one that ends in other than white space: what follows decides where they end
+        while step := self._step(*left, -1):
             left = step
             head += len(self.blocks[left[0]][0][left[1]])
+            if self.blocks[left[0]][0][left[1]][-1] not in SPACE:
+                break
         # chunks after, up to one that ends in other than white space: its end no edit before it can move
         while step := self._step(*right, 1):
             right = step
