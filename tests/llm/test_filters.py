@@ -6,13 +6,12 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import PARAGRAPH, SCHEMA, awkward, prose
 from tickloom.llm import compression_classifier as cc
-from tickloom.llm import exact_dedup, lm_scoring, near_dedup, quality_rules, url_filters
+from tickloom.llm import exact_dedup, near_dedup, quality_rules, url_filters
 from tickloom.llm.components import components
 from tickloom.llm.shingles import shingle_sets
 
@@ -247,97 +246,6 @@ def test_url_filters_look_up_every_level(spark):
     assert out == {(u, day(d)): p for u, ps in zip(urls, found) for d, p in zip((0, 3, 6), ps)}
 
 
-def test_lm_scores_against_plain_python(spark):
-    rows = awkward() + [(100 + i, prose(i, 200), "en") for i in range(40)]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumn("n_words", F.lit("clash")).repartition(2)
-    coded = lm_scoring.encode_classes(docs)
-    flat = lm_scoring.train(coded)
-    tables, out, bias = lm_scoring.unpack(flat)
-    scored = {r["doc_id"]: r for r in coded.mapInArrow(lm_scoring._score(flat.tobytes()), "doc_id bigint, n_words bigint, log_likelihood double").collect()}
-    for r in coded.where("doc_id >= 9").collect()[:8]:
-        codes = list(r["codes"])
-        total = 0.0
-        for i, c in enumerate(codes):
-            hidden = np.zeros(lm_scoring.WIDTH)
-            for k, o in enumerate(lm_scoring.AROUND):
-                hidden += tables[k][codes[i + o] if 0 <= i + o < len(codes) else lm_scoring.PAD]
-            logits = hidden @ out + bias
-            total += logits[c] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
-        assert scored[r["doc_id"]]["log_likelihood"] == pytest.approx(total, rel=1e-4) and scored[r["doc_id"]]["n_words"] == len(codes)
-    result = {r["doc_id"]: r for r in lm_scoring.lm_scores(docs).collect()}
-    assert result[3]["mean_log_likelihood"] is None and result[4]["log_likelihood"] == 0
-    assert lm_scoring.lm_scores(docs.limit(0)).count() == 0
-
-
-def test_lm_words_of_one_class_have_chances_of_their_own(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "HEAD", 194)  # of the words that share a class, some are looked up, others joined
-    frequent = " ".join(f"w{k}" for k in range(lm_scoring.CLASSES - lm_scoring.SHARED))
-    rows = [(i, f"{frequent} {frequent} common river " + ("seldom" if i % 3 else "rare mud"), "en") for i in range(20)]
-    rows += [(50, "ΣΑΣ İx w1", "tr"), (51, "w2 zoomon river w1", "en"), (52, "w2 common river w1", "en"), (53, None, "en"), (None, "w1 rare", "en"), (51, "w2 zoomon river w1", "en")]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    counts = {r["word"]: r["n"] for r in lm_scoring.word_counts(docs).collect()}
-    own, classes = set(frequent.split()), collections.Counter()
-    for w, n in counts.items():
-        classes[w if w in own else lm_scoring.shape_class(w)] += n
-    coded = lm_scoring.encode_classes(docs)
-    plain = {r["doc_id"]: r for r in coded.mapInArrow(lm_scoring._score(lm_scoring.train(coded).tobytes()), "doc_id bigint, n_words bigint, log_likelihood double").collect()}
-    out = lm_scoring.lm_scores(docs).collect()
-    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(r[0] for r in rows)
-    by_id = {r["doc_id"]: r for r in out}
-    for i, words in docs.select("doc_id", F.split(F.lower(F.coalesce("text", F.lit(""))), " ")).collect():
-        words = [w for w in words if w]
-        shares = sum(math.log(counts[w] / classes[lm_scoring.shape_class(w)]) for w in words if w not in own)
-        assert by_id[i]["n_words"] == len(words)
-        assert by_id[i]["log_likelihood"] == pytest.approx(plain[i]["log_likelihood"] + shares, rel=1e-3)
-    # these words share their class and have the same neighbours
-    assert lm_scoring.shape_class("zoomon") == lm_scoring.shape_class("common")
-    assert by_id[52]["log_likelihood"] - by_id[51]["log_likelihood"] == pytest.approx(math.log(counts["common"] / counts["zoomon"]), rel=1e-3)
-
-
-def test_every_position_trains():
-    rng = np.random.default_rng(3)
-    texts = [rng.integers(0, 255, n).astype("uint8") for n in (0, 1, 2, 15, 16, 17, 40, 333, *range(60))]
-    texts += texts[7:8]
-    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], ["codes"])
-    start = lm_scoring.start_weights().tobytes()
-    assert sum(b.column(1)[0].as_py() for k in range(lm_scoring.ROUNDS) for b in lm_scoring._train(start, k)(iter([batch]))) == sum(map(len, texts))
-    wanted = collections.Counter((*a, c) for t in texts if len(t) for a, c in zip(lm_scoring.neighbours(t).tolist(), t.tolist()))
-    found = collections.Counter()
-    for k in range(lm_scoring.ROUNDS):
-        around, target = lm_scoring.round_positions([t.tobytes() for t in texts], k)
-        found.update((*a, c) for a, c in zip(around.tolist(), target.tolist()))
-    assert found == wanted
-
-
-def test_training_lowers_the_loss():
-    rng = np.random.default_rng(1)
-    codes = np.cumsum(rng.integers(1, 3, 20000)).astype("int64") % 50
-    codes = codes.astype("uint8")
-    around, target = lm_scoring.neighbours(codes), codes
-    weights = lm_scoring.unpack(lm_scoring.start_weights())
-    before = lm_scoring.log_chances(weights, around, target).mean()
-    squares = tuple(np.full_like(w, 1e-3) for w in weights)
-    for i in range(0, 18000, 256):
-        lm_scoring.train_step(weights, squares, around[i : i + 256], target[i : i + 256])
-    assert lm_scoring.log_chances(weights, around[18000:], target[18000:]).mean() > before + 1
-
-
-def test_lm_gradient_is_right():
-    rng = np.random.default_rng(2)
-    around, target = rng.integers(0, 256, (8, 4)).astype("uint8"), rng.integers(0, 255, 8).astype("uint8")
-    weights = tuple(w.astype("float64") for w in lm_scoring.unpack(lm_scoring.start_weights()))
-    squares = tuple(np.zeros_like(w) for w in weights)
-    moved = tuple(w.copy() for w in weights)
-    lm_scoring.train_step(moved, squares, around, target)
-    for w, s, place in ((0, squares[0], (1, int(around[0, 1]), 3)), (1, squares[1], (2, int(target[0]))), (2, squares[2], (int(target[0]),))):
-        step = 1e-5
-        up, down = (tuple(x.copy() for x in weights) for _ in range(2))
-        up[w][place] += step
-        down[w][place] -= step
-        slope = -(lm_scoring.log_chances(up, around, target).mean() - lm_scoring.log_chances(down, around, target).mean()) / (2 * step)
-        assert slope**2 == pytest.approx(s[place], rel=1e-3)
-
-
 def test_pipeline_against_its_operators(spark, tmp_path):
     import corpus_pipeline
     from tickloom.llm.tokens import word_encoder

@@ -129,11 +129,17 @@ def word_encoder(path: str) -> ChunkEncoder:
     return _ENCODERS["word", path]
 
 
-def slices(texts, size: int = 4 << 20):
-    """(start, list of str) runs of an Arrow string column, of about ``size`` bytes; null is the empty text."""
+def beside(columns, *made: str) -> list[str]:
+    """``columns`` without those whose names clash with the columns ``made``; Spark's names know no case."""
+    taken = {m.lower() for m in made}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def slices(texts, size: int = 4 << 20, empty: str | bytes = ""):
+    """(start, list of str) runs of an Arrow string column, of about ``size`` bytes; null is the ``empty`` text."""
     held, at, n = [], 0, 0
     for x in texts:
-        s = x.as_py() or ""
+        s = x.as_py() or empty
         held.append(s)
         n += len(s)
         if n >= size:
