@@ -173,6 +173,64 @@ def test_near_dedup_against_all_pairs(spark, monkeypatch):
     assert near_dedup.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_blocks_ask_every_open_pair_once_and_stay_linear(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    groups = [(leader, int(n)) for leader, size in ((1000, 60), (2000, 25), (3000, 9)) for n in [leader, *(leader + 1 + rng.choice(400, size, replace=False))]]
+    root = {n: int(n) if rng.random() < 0.3 else leader for leader, n in groups if leader != 3000}
+    root |= {n: 3000 for leader, n in groups if leader == 3000}
+    table = spark.createDataFrame(groups, "leader bigint, node bigint")
+
+    def asked(rows):
+        blocks = collections.defaultdict(dict)
+        for r in rows:
+            held = blocks[r["leader"], r["i"], r["j"]]
+            held[r["node"]] = held.get(r["node"], 0) | r["role"]
+        out = collections.Counter()
+        for (leader, _, _), held in blocks.items():
+            nodes = np.asarray(list(held))
+            for x, rest in near_dedup.questions(nodes, np.asarray(list(held.values()))):
+                out.update((leader, *sorted((int(nodes[x]), int(n)))) for n in nodes[rest])
+        return out
+
+    star = near_dedup.star_blocks(table).collect()
+    assert asked(star) == collections.Counter((leader, leader, n) for leader, n in groups if n != leader)
+    found = asked(near_dedup.outsider_blocks(table, spark.createDataFrame(list(root.items()), "node bigint, root bigint")).collect())
+    tops = {leader: collections.Counter(root[n] for g, n in groups if g == leader).most_common(1)[0][0] for leader in (1000, 2000, 3000)}
+    wanted = {(g, a, b) for g, a in groups for h, b in groups if g == h and a < b and (root[a] != tops[g] or root[b] != tops[g])}
+    assert set(found) == wanted and set(found.values()) == {1} and not any(g == 3000 for g, _, _ in found)
+    # rows that cross the network grow with the group, not with its square
+    monkeypatch.setattr(near_dedup, "BLOCK", 256)
+    rows = {n: near_dedup.star_blocks(spark.range(n).select(F.lit(0).cast("bigint").alias("leader"), F.col("id").alias("node"))).count() for n in (5000, 50000)}
+    assert rows == {5000: 5000 - 1 + 20, 50000: 50000 - 1 + 196}
+
+
+def test_near_copies_of_one_text_are_shipped_in_proportion(spark, monkeypatch):
+    shipped = []
+    settle = near_dedup.settle
+    monkeypatch.setattr(near_dedup, "outsider_blocks", lambda groups, roots, made=near_dedup.outsider_blocks: settle(made(groups, roots), "blocks"))
+    monkeypatch.setattr(near_dedup, "settle", lambda df, name: settle(df, name) if name != "open-groups" else shipped.append(settle(df, name)) or shipped[-1])
+    base = prose(77, 200)
+    docs = spark.createDataFrame([(k, base if k == 0 else edited(base, k, 1), "en") for k in range(1500)], SCHEMA)
+    out = near_dedup.near_dedup(docs).collect()
+    assert {r["component_id"] for r in out} == {0} and sum(r["kept"] for r in out) == 1
+    # the leader absorbs all of them, so no group is left open
+    assert shipped[0].count() == 0
+
+
+def test_alike_patterns_of_other_words_are_not_alike(spark):
+    word = "0"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("01", "10"))
+    one = " ".join(word.replace("0", "a").replace("1", "b"))
+    other = " ".join(word.replace("0", "b").replace("1", "a"))
+    rows = [(1, word + " x y z w", "en"), (2, word.translate(str.maketrans("01", "10")) + " x y z w", "en"), (3, one + " p", "en"), (4, other + " q", "en"), (5, "q" * 70000 + "a" + "q" * 70000, "en"), (6, "q" * 70000 + "q" * 70000 + "a", "en")]
+    out = {r["id"]: r for r in near_dedup.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(out[i]["component_id"] == i for i in (1, 2, 5, 6))
+    a, b = word_set(rows[2][1]), word_set(rows[3][1])
+    assert (out[4]["component_id"] == 3) == (100 * len(a & b) >= 85 * len(a | b))
+
+
 def test_the_pipeline_drops_near_copies_from_eighty_percent_on(spark):
     import corpus_pipeline
 

@@ -279,13 +279,11 @@ def train(coded: DataFrame, words: int, sizes: np.ndarray | None = None) -> np.n
     for k in range(ROUNDS):
         rows = dealt.where(F.col("round") == k).repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "__deal", "codes")
         found, left = rows.select("part", "codes").mapInArrow(_train(weights.tobytes()), "part bigint, n bigint, weights binary"), parts
-        while left > FAN_IN:
+        while left > 1:
             found = found.groupBy(F.floor(F.col("part") / FAN_IN).alias("__to")).applyInPandas(_average, "part bigint, n bigint, weights binary")
             left = -(-left // FAN_IN)
-        # at most FAN_IN rows
-        last = [(r["part"], r["n"], bytes(r["weights"])) for r in found.collect()]
-        if last:
-            weights = np.frombuffer(_average(pd.DataFrame(last, columns=["part", "n", "weights"]))["weights"][0], "float32")
+        for row in found.collect():  # one at most
+            weights = np.frombuffer(bytes(row["weights"]), "float32")
     return weights
 
 

@@ -6,10 +6,13 @@
 2. Sets that share a band key form a bucket. A bucket names as its leader the member with most company
    over all its buckets; so every pair of a bucket lies in the group of one leader, while the rows of a
    group are linear in its buckets.
-3. A group is compared in blocks: sketches first, by population counts, closest pairs first; those that
-   may reach the threshold are confirmed on their full shingle sets unless links already join them. What
-   leaves a block is a forest of confirmed links, never all pairs.
-4. Star contraction turns the links into components.
+3. First each member meets its leader alone: a large group is cut and the leader goes to every cut, so
+   rows and work are linear. Components of these links absorb most members of a group of near copies.
+4. Only members outside the largest component of their group ("outsiders") meet the others, in blocks:
+   sketches first, by population counts, closest pairs first; those that may reach the threshold are
+   confirmed on the shingles themselves, words and all, unless links already join them. What leaves a
+   block is a forest of confirmed links, never all pairs.
+5. Star contraction turns the links of both steps into components.
 
 A pair at the threshold shares no band with a chance of at most 1e-6, at 0.85 as at 0.80; the sketch screen
 lies six standard deviations under the threshold. Equal sets are one node throughout.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.shingles import mix, randoms, shingle_sets
+from tickloom.llm.shingles import mix, randoms, shingle_sets, word_shingles
 from tickloom.llm.store import settle
 from tickloom.llm.tokens import slices
 
@@ -93,19 +97,34 @@ def _sign(n: int, rows: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, sketch, text) -> (node, sketch, hashes)"""
-    for b in batches:
-        for at, texts in slices(b.column(2), 1 << 20):
-            sets = pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), sets], ["node", "sketch", "hashes"])
+class Member(NamedTuple):
+    """A node of a block: ``root`` is its component so far, ``role`` the side it stands on."""
 
+    node: int
+    root: int
+    role: int
+    size: int
+    sketch: bytes
+    text: str
 
-def group_links(nodes: list[int], sketches: list[bytes], hashes: list[bytes], percent: int, screen: float) -> list[tuple[int, int]]:
-    """A forest of links within one block: it joins all that confirmed links of the block join."""
+
+#: Sides of a block, and the mark of those on the answering side that ask in other blocks.
+ASKS, ANSWERS, OUTSIDER = 1, 2, 4
+
+
+def questions(nodes: np.ndarray, roles: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Who asks, and the places of those that answer; of two that ask each other in some block, the smaller node does."""
+    answering = np.flatnonzero(roles & ANSWERS)
+    for x in np.flatnonzero(roles & ASKS).tolist():
+        yield x, answering[((roles[answering] & OUTSIDER == 0) | (nodes[answering] > nodes[x])) & (answering != x)]
+
+
+def group_links(members: list[Member], percent: int, screen: float) -> list[tuple[int, int]]:
+    """A forest of links within one block: it joins all that confirmed links of its pairs (one asks, the other
+    answers) join, beyond what the members' roots already join."""
     sets: dict[int, frozenset] = {}
-    parent = list(range(len(nodes)))
-    sizes = np.asarray([len(h) // 8 for h in hashes])
+    parent = {m.root: m.root for m in members}
+    sizes, roles = np.asarray([m.size for m in members]), np.asarray([m.role for m in members])
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -113,29 +132,29 @@ def group_links(nodes: list[int], sketches: list[bytes], hashes: list[bytes], pe
             x = parent[x]
         return x
 
-    def members(x: int) -> frozenset:
+    def shingles(x: int) -> frozenset:
         if x not in sets:
-            sets[x] = frozenset(np.frombuffer(hashes[x], "uint64").tolist())
+            sets[x] = word_shingles(members[x].text)
         return sets[x]
 
-    bits = np.frombuffer(b"".join(sketches), "uint64").reshape(len(nodes), BITS // 64)
+    bits = np.frombuffer(b"".join(m.sketch for m in members), "uint64").reshape(len(members), BITS // 64)
     bands, rows, _ = scheme(percent)
     limit, found = most_differing(screen, bands * rows), []
-    for x in range(len(nodes) - 1):
-        apart = np.bitwise_count(bits[x + 1 :] ^ bits[x]).sum(axis=1, dtype="int64")
-        rest = sizes[x + 1 :]
-        near = np.flatnonzero((apart <= limit) & (100 * np.minimum(rest, sizes[x]) >= percent * np.maximum(rest, sizes[x])))
-        found.append(np.stack([apart[near], np.full(len(near), x), near + x + 1], axis=1))
+    for x, rest in questions(np.asarray([m.node for m in members]), roles):
+        apart = np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1, dtype="int64")
+        near = (apart <= limit) & (100 * np.minimum(sizes[rest], sizes[x]) >= percent * np.maximum(sizes[rest], sizes[x]))
+        found.append(np.stack([apart[near], np.full(int(near.sum()), x), rest[near]], axis=1))
     pairs = np.concatenate(found) if found else np.zeros((0, 3), "int64")
     out = []
     for _, x, y in pairs[np.lexsort(pairs.T[::-1])].tolist():
-        p, q = root(x), root(y)
+        p, q = root(members[x].root), root(members[y].root)
         if p == q:
             continue
-        both = len(members(x) & members(y))
-        if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+        a, b = shingles(x), shingles(y)
+        both = len(a & b)
+        if 100 * both >= percent * (len(a) + len(b) - both):
             parent[q] = p
-            out.append((nodes[x], nodes[y]))
+            out.append((members[x].node, members[y].node))
     return out
 
 
@@ -147,19 +166,20 @@ def _links(percent: int, screen: float):
 
         def close() -> None:
             if len(held) > 1:
-                columns = list(zip(*held.values()))
-                out.extend(group_links(list(held), list(columns[0]), list(columns[1]), percent, screen))
+                out.extend(group_links(list(held.values()), percent, screen))
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
         for b in batches:
-            keys = zip(*(b.column(k).to_pylist() for k in range(3)))
-            for k, (key, node) in enumerate(zip(keys, b.column(3).to_pylist())):
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(3))))
+            rest = zip(*(b.column(k).to_pylist() for k in range(3, b.num_columns)))
+            for key, row in zip(keys, rest):
                 if key != at:
                     close()
                     at, held = key, {}
-                held[node] = (b.column(4)[k].as_py(), b.column(5)[k].as_py())
+                new, old = Member(*row), held.get(row[0])
+                held[new.node] = new if old is None else new._replace(role=new.role | old.role)
             if out:
                 yield batch()
                 out.clear()
@@ -170,6 +190,37 @@ def _links(percent: int, screen: float):
     return run
 
 
+PLACED = ["leader", "i", "j", "node", "root", "role"]
+
+
+def star_blocks(groups: DataFrame) -> DataFrame:
+    """Every member of a group beside its leader: ``BLOCK`` members to a block, the leader in each of them.
+
+    (leader, node) -> ``PLACED``; as many rows as members, and one more for each block."""
+    blocks = groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = groups.join(blocks, "leader")
+    members = placed.where("node <> leader").select("leader", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("root"), F.lit(ANSWERS).alias("role"))
+    leaders = placed.where("node = leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("root"), F.lit(ASKS).alias("role"))
+    return members.unionByName(leaders)
+
+
+def outsider_blocks(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members outside the largest component of their group, against all its members.
+
+    (leader, node), (node, root) -> ``PLACED``. Groups of one component give no rows; the others give each outsider
+    as often as there are blocks of members, and each member as often as there are blocks of outsiders."""
+    found = groups.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("leader", "node", F.coalesce("root", "node").alias("root"))
+    sizes = found.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("leader").agg(F.max_by(F.struct("root", "n"), F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    open_ = most.where("all > top.n").select("leader", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"))
+    found = settle(found.join(open_, "leader"), "open-groups")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = found.where("root <> top").select("leader", own("rows").alias("i"), every("columns").alias("j"), "node", "root", F.lit(ASKS).alias("role"))
+    answers = found.select("leader", own("columns").alias("j"), every("rows").alias("i"), "node", "root", F.when(F.col("root") == F.col("top"), ANSWERS).otherwise(ANSWERS + OUTSIDER).alias("role"))
+    return asks.unionByName(answers).select(*PLACED)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, screen: float | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept, text_hash), one row per row of ``docs``.
 
@@ -185,7 +236,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = settle(rows.mapInArrow(_sign(bands * per_band, per_band), f"id bigint, text_hash bigint, {SIGNED}").withColumn("node", F.monotonically_increasing_id()), "signed")
     own = settle(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("node").alias("set_node"), F.min("id").alias("least_id")), "sets")
     alone = signed.join(own.select("set_node"), signed["node"] == F.col("set_node")).drop("set_node")
-    alone = settle(alone.select("node", "id", "text_hash", "bands", "sketch"), "distinct-sets")
+    alone = settle(alone.select("node", "id", "text_hash", "n_shingles", "bands", "sketch"), "distinct-sets")
 
     banded = alone.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -193,17 +244,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     company = buckets.groupBy("node").agg(F.sum("n").alias("company"))
     leaders = buckets.join(company, "node").groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("leader"))
     groups = settle(buckets.join(leaders, "key").select("leader", "node").distinct(), "groups")
-    blocks = groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(blocks, "leader").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("leader", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node")
+    wanted = alone.join(groups.select("node").distinct(), "node").select("node", F.col("n_shingles").alias("size"), "sketch", F.col("id").alias("w_id"), F.col("text_hash").alias("w_hash"))
+    texts = rows.join(wanted, rows["id"].eqNullSafe(F.col("w_id")) & (rows["text_hash"] == F.col("w_hash"))).select("node", "size", "sketch", "text")
+    texts = settle(texts, "grouped-texts")
 
-    wanted = alone.join(groups.select("node").distinct(), "node").select("node", "sketch", F.col("id").alias("w_id"), F.col("text_hash").alias("w_hash"))
-    texts = rows.join(wanted, rows["id"].eqNullSafe(F.col("w_id")) & (rows["text_hash"] == F.col("w_hash"))).select("node", "sketch", "text")
-    sets = settle(texts.mapInArrow(_sets, "node bigint, sketch binary, hashes binary"), "shingle-sets")
-    blocked = placed.join(sets, "node").select("leader", "i", "j", "node", "sketch", "hashes")
-    blocked = blocked.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    links = settle(blocked.mapInArrow(_links(percent, screen), "a bigint, b bigint"), "near-links")
+    def confirmed(placed: DataFrame) -> DataFrame:
+        blocked = placed.join(texts, "node").select(*PLACED, "size", "sketch", "text")
+        blocked = blocked.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+        return settle(blocked.mapInArrow(_links(percent, screen), "a bigint, b bigint"), "near-links")
 
+    links = confirmed(star_blocks(groups))
+    links = links.unionByName(confirmed(outsider_blocks(groups, components(links))))
     roots = components(links)
     linked = roots.join(own, roots["node"] == own["set_node"])
     least = linked.groupBy("root").agg(F.min("least_id").alias("component"))

@@ -1,15 +1,21 @@
-"""Word shingles of whole texts as 64-bit hashes, computed for many texts at once."""
+"""Word shingles of whole texts: as sets of words, and as 64-bit hashes.
+
+A word's hash is a keyed cryptographic one, remembered per worker; a shingle's mixes those of its words by
+their places. So texts that are alike in form share no hashes unless they share words.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from itertools import chain
+
 import numpy as np
 
 WORDS = 5
 _U = np.uint64
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype="uint8")
-_LOWER[65:91] += 32
+_KEY = b"word shingles"
+#: Distinct words remembered at once.
+MOST = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,34 +29,46 @@ def randoms(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype="uint64") * _U(0x9E3779B97F4A7C15) + _U(seed))
 
 
-_BYTE, _ODD = randoms(256, 11), randoms(WORDS, 12) | _U(1)
-_POWER = np.cumprod(np.full(1 << 16, 0xF1357AEA2E62A9C5, "uint64"))
+_ODD = randoms(WORDS, 12) | _U(1)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, found when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little")
+        return found
+
+
+_KNOWN = WordHashes()
+
+
+def words_of(text: str) -> list[bytes]:
+    """Words in UTF-8, A-Z lower-cased: runs without ASCII white space."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def word_shingles(text: str) -> frozenset[tuple[bytes, ...]]:
+    """The distinct shingles themselves; a text of one to four words has its whole sequence as its one shingle."""
+    words = words_of(text)
+    if len(words) < WORDS:
+        return frozenset([tuple(words)]) if words else frozenset()
+    return frozenset(zip(*(words[k:] for k in range(WORDS))))
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text.
-
-    A-Z are lower-cased; words are runs without ASCII white space. A text of one to four words has its
-    whole sequence as its one shingle, one without words has none."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = _LOWER[np.frombuffer(b" ".join(raw) + b" ", "uint8")]
-    begins = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-    inside = ~_BLANK[data]
-    edge = np.diff(np.concatenate([[0], inside.view("int8"), [0]]))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    """Sorted hashes of each text's distinct shingles; a text without words has none."""
+    if len(_KNOWN) > MOST:
+        _KNOWN.clear()
+    split = [words_of(t) for t in texts]
+    begins = np.cumsum([0, *map(len, split)]).tolist()
     empty = np.zeros(0, "uint64")
-    if not len(starts):
-        return [empty] * len(texts)
-    lengths = ends - starts
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
     with np.errstate(over="ignore"):
-        words = mix(np.add.reduceat(_BYTE[data[inside]] * _POWER[place & 0xFFFF], first) + lengths.astype("uint64"))
+        words = mix(np.fromiter(map(_KNOWN.__getitem__, chain.from_iterable(split)), "uint64", begins[-1]))
         padded = np.concatenate([words, np.zeros(WORDS, "uint64")])
         whole = mix(sum(padded[k : k + len(words)] * _ODD[k] for k in range(WORDS)))
-        upto = np.searchsorted(starts, begins)
         out = []
-        for a, b in zip(upto[:-1].tolist(), upto[1:].tolist()):
+        for a, b in zip(begins[:-1], begins[1:]):
             n = b - a
             if n >= WORDS:
                 out.append(np.unique(whole[a : b - WORDS + 1]))
