@@ -98,32 +98,58 @@ def test_classifier_never_learns_held_out_labels(spark):
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
-@pytest.mark.parametrize("budget", [1, 48 << 20])
-def test_exact_dedup(spark, keep, budget):
-    docs = spark.createDataFrame(awkward(), SCHEMA).withColumn("kept", F.lit("clash")).repartition(3)
-    out = exact_dedup.exact_dedup(docs, keep=keep, budget=budget).collect()
-    groups = collections.defaultdict(list)
-    for i, t, _ in awkward():
+@pytest.mark.parametrize("budget,digits", [(1, 64), (4000, 1), (48 << 20, 64), (48 << 20, 0)])
+def test_exact_dedup(spark, keep, budget, digits):
+    rows = awkward() + [(None, "only without identifiers", "en")] * 2 + [(700 + i % 40, f"{i % 9} short text", None) for i in range(90)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("KEPT", F.lit("clash")).withColumn("__n", F.lit("clash")).repartition(3)
+    out = exact_dedup.exact_dedup(docs, keep=keep, budget=budget, digits=digits).collect()
+    groups, kept = collections.defaultdict(list), collections.Counter()
+    for i, t, _ in rows:
         groups[t or ""].append(i)
-    assert len(out) == len(awkward())
+    assert collections.Counter((r["doc_id"], r["text"], r["lang"]) for r in out) == collections.Counter(rows)
     for r in out:
         ids = groups[r["text"] or ""]
         known = [i for i in ids if i is not None]
         owner = (min if keep == "smallest" else max)(known) if known else None
-        assert (r["keep_id"], r["group_size"], r["kept"]) == (owner, len(ids), r["doc_id"] == owner)
+        assert (r["keep_id"], r["group_size"]) == (owner, len(ids))
         assert r["text_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+        if r["kept"]:
+            assert r["doc_id"] == owner
+            kept[r["text"] or ""] += 1
+    assert kept == dict.fromkeys(groups, 1)
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_owners_spill_only_what_is_complete(spark):
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 100, int(n)).astype("uint8")) for n in rng.integers(0, 6, 400)]
+    partial = sorted((*exact_dedup.key_of(t, 1), t, i, 2, 1) for i, t in enumerate(texts))
+    for budget in (1, 300, 1 << 20):
+        found = [r for b in exact_dedup.owner_tries("smallest", budget, 1)(exact_dedup._batches(iter(partial), 500)) for r in b.to_pylist()]
+        wanted = {t: (min(i for i, x in enumerate(texts) if x == t), 2 * texts.count(t)) for t in texts}
+        keys = collections.Counter(exact_dedup.key_of(t, 1) for t in wanted)
+        assert sorted((r["length"], r["content_hash"], r["owner"], r["copies"]) for r in found) == sorted((*exact_dedup.key_of(t, 1), *x) for t, x in wanted.items())
+        assert sum(r["body"] is None for r in found) == sum(n == 1 for n in keys.values())
+        assert all(wanted[r["body"]] == (r["owner"], r["copies"]) for r in found if r["body"] is not None)
+
+
 def test_patricia_trie_keeps_prefixes_apart():
     trie, wanted = exact_dedup.PatriciaTrie(), {}
     for i, key in enumerate([b"", b"a", b"ab", b"abc", b"abd", b"b", b"abc", b"", b"\x00", b"a" * 1000, b"a" * 999 + b"b"]):
         trie.insert(key, 100 - i)
         wanted[key] = (min(100 - i, wanted.get(key, (999, 0))[0]), wanted.get(key, (0, 0))[1] + 1)
-    found = {k: (o, n) for k, o, n in trie.terminals()}
+    found = {k: (o, n) for k, o, n, _ in trie.terminals()}
     assert found == wanted
-    spilled = {k for k, _, _ in trie.spill()}
-    assert spilled == {k for k in wanted if k[:1] == b"a"} and {k for k, _, _ in trie.terminals()} == set(wanted) - spilled
+    spilled = {k for k, *_ in trie.spill()}
+    assert spilled == {k for k in wanted if k[:1] == b"a"} and {k for k, *_ in trie.terminals()} == set(wanted) - spilled
+
+
+def test_a_trie_counts_the_rows_of_the_owner():
+    for keep, wanted in (("smallest", (3, 6, 2)), ("largest", (9, 6, 1))):
+        trie = exact_dedup.PatriciaTrie(keep)
+        for owner in (None, 3, 9, None, 3, 5):
+            trie.insert(b"x", owner)
+        assert list(trie.terminals()) == [(b"x", *wanted)]
 
 
 def word_set(text):
