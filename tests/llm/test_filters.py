@@ -26,35 +26,84 @@ def base_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
-def brute_em(counts, n_rules, rounds=20):
-    """The same model in plain Python."""
-    digits = {p: [p // 3**r % 3 for r in range(n_rules)] for p in counts}
+def brute_em(counts, odds, rounds=quality_rules.ROUNDS):
+    """The same model in plain Python, run until nothing moves."""
+    digits = {p: [p // 3**r % 3 for r in range(len(odds))] for p in counts}
     q = {p: 0.9 if 0 in digits[p] else 0.05 for p in counts}
     for _ in range(rounds):
         bad = {p: n * q[p] for p, n in counts.items()}
         good = {p: n * (1 - q[p]) for p, n in counts.items()}
         chance = {}
         for name, w in (("bad", bad), ("good", good)):
-            for r in range(n_rules):
-                for k, v in ((0, 0), (1, 2)):
-                    share = sum(x for p, x in w.items() if digits[p][r] == v) / max(sum(w.values()), 1e-9)
-                    chance[name, r, v] = 0.5 * share + 0.5 * quality_rules.EXPECTED[name][k]
+            for r, least in enumerate(odds):
+                rejects = sum(x for p, x in w.items() if digits[p][r] == 0) + quality_rules.BELIEF * quality_rules.EXPECTED[name]
+                found = rejects / (sum(x for p, x in w.items() if digits[p][r] != 1) + quality_rules.BELIEF)
+                found = min(found, quality_rules.MOST_FOUND if name == "bad" else chance["bad", r, 0] / least)
+                chance[name, r, 0], chance[name, r, 2] = found, 1 - found
         prior = math.log((sum(bad.values()) + 1) / (sum(good.values()) + 1))
-        q = {p: 1 / (1 + math.exp(-prior - sum(math.log(chance["bad", r, v] / chance["good", r, v]) for r, v in enumerate(d) if v != 1))) for p, d in digits.items()}
+        before, q = q, {p: 1 / (1 + math.exp(-prior - sum(math.log(chance["bad", r, v] / chance["good", r, v]) for r, v in enumerate(d) if v != 1))) for p, d in digits.items()}
+        if max(abs(q[p] - before[p]) for p in q) < 1e-9:
+            break
     return {p: 1 - x for p, x in q.items()}
 
 
+def fitted(spark, votes, odds):
+    """Posteriors of vote tuples, the fit's and plain Python's alike."""
+    code = lambda v: sum(x * 3**i for i, x in enumerate(v))
+    counts = {code(v): n for v, n in votes.items()}
+    table = spark.createDataFrame(list(counts.items()), "pattern int, n bigint")
+    found = {r["pattern"]: r["p_good"] for r in quality_rules.fit_patterns(table, odds).collect()}
+    assert found == pytest.approx(brute_em(counts, odds), abs=1e-6)
+    return {v: found[code(v)] for v in votes}
+
+
+def test_groups_that_reject_alone_are_believed(spark):
+    for times in (1, 10, 1000):
+        found = fitted(spark, {(2, 2, 2, 2, 2): 817 * times, (0, 2, 2, 2, 2): 68 * times, (2, 2, 2, 1, 2): 18 * times, (2, 0, 2, 1, 2): 2 * times}, [50.0] * 5)
+        assert found[0, 2, 2, 2, 2] < 0.3 and found[2, 0, 2, 1, 2] < 0.5 and found[2, 2, 2, 2, 2] > 0.9
+
+
+def test_the_posterior_overrules_a_group_that_stands_alone(spark):
+    # four groups reject the same documents; the fifth rejects others that all four keep
+    found = fitted(spark, {(2, 2, 2, 2, 2): 8500, (0, 0, 0, 0, 2): 600, (0, 0, 0, 2, 2): 200, (2, 2, 2, 2, 0): 400}, [50.0] * 5)
+    assert found[2, 2, 2, 2, 0] > 0.5 and found[2, 2, 2, 2, 2] > 0.99 and found[0, 0, 0, 0, 2] < 0.01 and found[0, 0, 0, 2, 2] < 0.01
+
+
+def test_weak_votes_that_agree_drop_a_text(spark):
+    # two noisy groups each reject many good documents alone; together they reject what the others abstain on
+    chance = {"good": [0.1, 0.1, 0.01], "bad": [0.7, 0.7, 0.5]}
+    votes = collections.Counter()
+    for name, n in (("good", 9000), ("bad", 1500)):
+        for a in (0, 2):
+            for b in (0, 2):
+                for c in (0, 2):
+                    votes[a, b, c] += round(n * math.prod(p if v == 0 else 1 - p for v, p in zip((a, b, c), chance[name])))
+    votes[0, 0, 1] = 60
+    found = fitted(spark, votes, [3.0, 3.0, 50.0])
+    assert found[0, 2, 2] > 0.5 and found[2, 0, 2] > 0.5
+    assert found[0, 0, 1] < 0.5 and found[0, 0, 0] < 0.01
+
+
+def test_rules_of_one_group_have_one_vote(spark):
+    rules = [quality_rules.Rule("a", "g", "x", reject=5, keep=1), quality_rules.Rule("b", "g", "y", reject=5), quality_rules.Rule("c", "h", "y", keep=3, least=10)]
+    rows = [(20, 0.0, 9.0), (20, 0.0, 2.0), (20, 3.0, 2.0), (5, 9.0, 2.0), (5, None, None)]
+    found = spark.createDataFrame(rows, "n_words bigint, x double, y double").select(quality_rules.vote_code(rules).alias("v")).collect()
+    assert [(r["v"] % 3, r["v"] // 3) for r in found] == [(0, 1), (2, 2), (1, 2), (0, 1), (1, 1)]
+
+
 def test_quality_rules(spark):
     rows = awkward() + [(100 + i, prose(i, 50), "en") for i in range(60)] + [(300 + i, " ".join(w + "###" for w in prose(i, 40).split()), "en") for i in range(6)]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("clash")).withColumn("n_words", F.lit("clash"))
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("Kept", F.lit("clash")).withColumn("N_WORDS", F.lit("clash"))
     out = quality_rules.quality_rules(docs).collect()
     assert len(out) == len(rows)
     for r in out:
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == base_counts(r["text"] or "")
         assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
-    wanted = brute_em(collections.Counter(r["pattern"] for r in out), len(quality_rules.default_rules()))
+    counts = collections.Counter({r["pattern"]: 0 for r in out})
+    counts.update(r["pattern"] for r in out if not r["base_failed"])
+    wanted = brute_em(counts, quality_rules.group_odds(quality_rules.default_rules()))
     for r in out:
-        assert r["p_good"] == pytest.approx(wanted[r["pattern"]], abs=1e-9)
+        assert r["p_good"] == pytest.approx(wanted[r["pattern"]], abs=1e-6)
         assert r["kept"] == (not r["base_failed"] and r["p_good"] >= 0.5)
     by_id = {r["doc_id"]: r["kept"] for r in out}
     assert all(by_id[100 + i] for i in range(60)) and not any(by_id[300 + i] for i in range(6)) and not by_id[11]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tickloom.llm.quality_rules import BELIEF, EXPECTED, default_rules
+from tickloom.llm.quality_rules import BELIEF, CLOSE, EXPECTED, MOST_FOUND, ROUNDS, default_rules, group_odds, groups_of
 
 _BLANK = r"[\x20\x09-\x0D]+"
 _WORDS = f"list_filter(string_split_regex({{text}}, '{_BLANK}'), lambda x: x <> '')"
@@ -28,24 +28,29 @@ NEAR_DEDUP = f"""
     SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least.id AS component_id, s.doc_id = least.id AS kept FROM s JOIN (SELECT node, min(got) AS id FROM reach GROUP BY 1) least ON least.node = s.doc_id
 """
 
-def quality_rules(rounds: int = 20) -> str:
-    """Counts, votes, expectation-maximisation over the table of vote patterns, and the verdict."""
-    rules = default_rules()
+
+def quality_rules(rounds: int = ROUNDS) -> str:
+    """Counts, votes of groups, expectation-maximisation over the table of vote patterns, and the verdict."""
+    rules, groups = default_rules(), groups_of(default_rules())
     digit = lambda i: f"(pattern // {3**i} % 3)"
     code = []
-    for i, r in enumerate(rules):
-        value = "(" + re.sub(r"try_divide\((\w+), (\w+)\)", r"\1::DOUBLE / nullif(\2, 0)", r.value) + ")"
-        test = f"WHEN {value} >= {r.reject}::DOUBLE THEN 0" if r.reject is not None else f"WHEN {value} <= {r.keep}::DOUBLE THEN 2"
-        code.append(f"{3**i} * CASE WHEN n_words < {r.least} OR {value} IS NULL THEN 1 {test} ELSE 1 END")
+    for i, group in enumerate(groups):
+        tests = {"reject": [], "keep": []}
+        for r in (r for r in rules if r.group == group):
+            value = "(" + re.sub(r"try_divide\((\w+), (\w+)\)", r"\1::DOUBLE / nullif(\2, 0)", r.value) + ")"
+            for name, sign, bound in (("reject", ">=", r.reject), ("keep", "<=", r.keep)):
+                if bound is not None:
+                    tests[name].append(f"coalesce(n_words >= {r.least} AND {value} {sign} {bound}::DOUBLE, false)")
+        code.append(f"{3**i} * CASE WHEN {' OR '.join(tests['reject'])} THEN 0 WHEN {' OR '.join(tests['keep']) or 'false'} THEN 2 ELSE 1 END")
     terms = []
-    for i in range(len(rules)):
-        cases = ""
-        for v, k in ((0, 0), (2, 1)):
-            share = lambda w, total, prior: f"({1 - BELIEF}::DOUBLE * coalesce(sum({w}) FILTER ({digit(i)} = {v}) OVER (), 0) / greatest({total}, 1e-9) + {BELIEF * prior}::DOUBLE)"  # noqa: E731, B023
-            cases += f" WHEN {v} THEN ln({share('n * q', 'sum(n * q) OVER ()', EXPECTED['bad'][k])} / {share('n * (1 - q)', 'sum(n * (1 - q)) OVER ()', EXPECTED['good'][k])})"
-        terms.append(f"CASE {digit(i)}{cases} ELSE 0 END")
+    for i, least in enumerate(group_odds(rules)):
+        of = lambda w, test: f"coalesce(sum({w}) FILTER ({digit(i)} {test}) OVER (), 0)"  # noqa: E731, B023
+        theta = lambda w, expected: f"({of(w, '= 0')} + {BELIEF * expected}::DOUBLE) / ({of(w, '<> 1')} + {BELIEF}::DOUBLE)"  # noqa: E731, B023
+        bad = f"least({theta('n * q', EXPECTED['bad'])}, {MOST_FOUND}::DOUBLE)"
+        good = f"least({theta('n * (1 - q)', EXPECTED['good'])}, {bad} / {least}::DOUBLE)"
+        terms.append(f"CASE {digit(i)} WHEN 0 THEN ln({bad} / {good}) WHEN 2 THEN ln((1 - {bad}) / (1 - {good})) ELSE 0 END")
     odds = f"ln((sum(n * q) OVER () + 1) / (sum(n * (1 - q)) OVER () + 1)) + {' + '.join(terms)}"
-    any_reject = " OR ".join(f"{digit(i)} = 0" for i in range(len(rules)))
+    any_reject = " OR ".join(f"{digit(i)} = 0" for i in range(len(groups)))
     strip = lambda p: f"length(regexp_replace(t, '{p}', '', 'g'))"
     return rf"""
     WITH RECURSIVE
@@ -56,9 +61,9 @@ def quality_rules(rounds: int = 20) -> str:
     f AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - {strip('[#*$%&|<>]')} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(l) AS n_lines,
         {strip(r'\P{Lu}')} AS n_upper, {strip(r'\P{L}')} AS n_letters, len(list_filter(w, lambda x: ends_with(x, '!!'))) AS n_shouts, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_runs, len(list_distinct(w)) AS n_distinct FROM d LEFT JOIN cov USING (doc_id)),
     v AS (SELECT *, CAST({' + '.join(code)} AS INT) AS pattern FROM f),
-    start AS (SELECT pattern, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY 1),
-    em AS (SELECT 0 AS k, pattern, n, CASE WHEN {any_reject} THEN 0.9::DOUBLE ELSE 0.05::DOUBLE END AS q FROM start
-        UNION ALL SELECT k + 1, pattern, n, 1 / (1 + exp(-({odds}))) FROM em WHERE k < {rounds})
+    start AS (SELECT pattern, CAST(count(*) FILTER (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)) AS DOUBLE) AS n FROM v GROUP BY 1),
+    em AS (SELECT 0 AS k, pattern, n, CASE WHEN {any_reject} THEN 0.9::DOUBLE ELSE 0.05::DOUBLE END AS q, false AS done FROM start
+        UNION ALL SELECT k + 1, pattern, n, q2, max(abs(q2 - q)) OVER () < {CLOSE} FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS q2 FROM em WHERE k < {rounds} AND NOT done) turned)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 1 - q >= 0.5 AS kept, v.pattern, round(1 - q, 6) AS p_good FROM v JOIN em ON em.pattern = v.pattern AND em.k = {rounds}
+        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 1 - q >= 0.5 AS kept, v.pattern, round(1 - q, 6) AS p_good FROM v JOIN em ON em.pattern = v.pattern AND em.k = (SELECT max(k) FROM em)
     """

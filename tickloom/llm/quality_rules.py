@@ -1,10 +1,12 @@
 """Quality rules as weak supervision, in DataFrame expressions only.
 
-Each rule votes keep, votes reject or abstains. Expectation-maximisation over the table of vote
-patterns (at most 3 ** rules rows, whatever the input's size; 2 ** rules where a rule has one vote only) estimates how often each rule gives each
-vote on good and on bad documents; the posterior probability that a document is good replaces the
-requirement that all rules pass. The fit is an ``aggregate`` fold over a one-row table, so nothing is
-collected to the driver and no Python runs on executors.
+Each rule votes keep, votes reject or abstains. Rules that look at the same trait form a group, which has one
+vote: reject if one of them rejects, else keep if one keeps; so votes of different groups are nearly
+independent within a class. Expectation-maximisation over the table of vote patterns (at most 3 ** groups
+rows, whatever the input's size) estimates how often each group gives each vote on good and on bad
+documents; the posterior probability that a document is good replaces the requirement that all rules pass. The
+fit is an ``aggregate`` fold over a one-row table, so nothing is collected to the driver and no Python runs on
+executors.
 """
 
 from __future__ import annotations
@@ -19,21 +21,29 @@ from tickloom.llm.store import settle
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
-#: P(reject) and P(keep) expected of a rule that has that vote, on bad and on good documents, and the weight of that belief.
-EXPECTED = {"bad": (0.3, 0.3), "good": (0.01, 0.8)}
-BELIEF = 0.5
+#: P(reject | a vote) expected of a group on bad and on good documents, and how many votes in each class that belief counts as.
+EXPECTED = {"bad": 0.4, "good": 0.01}
+BELIEF = 2.0
+#: The most of the bad documents that one group is taken to see: they come in kinds, so a group's keep says little of other kinds.
+MOST_FOUND = 0.5
+#: The fit ends when no posterior moves by this much, after so many rounds at most.
+CLOSE, ROUNDS = 1e-9, 1000
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes by an SQL expression over the counts: reject where ``value`` >= ``reject``, keep where it is <= ``keep``; abstains else, and below ``least`` words."""
+    """Votes by an SQL expression over the counts: reject where ``value`` >= ``reject``, keep where it is <= ``keep``; abstains else, and below ``least`` words.
+
+    ``odds`` is what is assumed of it: its reject is at least so many times likelier on a bad document than on a good one."""
 
     name: str
+    group: str
     value: str
     reject: float | None = None
     keep: float | None = None
     least: int = 0
+    odds: float = 50.0
 
 
 def share(part: str, whole: str = "n_words") -> str:
@@ -42,18 +52,22 @@ def share(part: str, whole: str = "n_words") -> str:
 
 def default_rules() -> list[Rule]:
     return [
-        Rule("symbols", share("n_symbols"), reject=0.2),
-        Rule("dup_lines", share("n_dup_lines", "n_lines"), reject=0.4, least=150),
-        Rule("repeat_words", share("n_repeat_words"), reject=0.3),
-        Rule("capitals", share("n_upper", "n_letters"), reject=0.4),
-        Rule("shouts", share("n_shouts"), reject=0.2),
-        Rule("runs", share("n_runs"), reject=0.3),
-        Rule("few_words", f"1 - {share('n_distinct')}", reject=0.9, least=50),
-        Rule("word_length", share("word_chars"), reject=25.0),
-        Rule("prose", f"{share('n_symbols')} + {share('n_upper', 'n_letters')}", keep=0.1),
+        Rule("symbols", "symbols", share("n_symbols"), reject=0.2, keep=0.05),
+        Rule("dup_lines", "repetition", share("n_dup_lines", "n_lines"), reject=0.4, least=150),
+        Rule("repeat_words", "repetition", share("n_repeat_words"), reject=0.3, keep=0.1),
+        Rule("runs", "repetition", share("n_runs"), reject=0.3),
+        Rule("capitals", "capitals", share("n_upper", "n_letters"), reject=0.4, keep=0.15),
+        Rule("shouts", "capitals", share("n_shouts"), reject=0.2),
+        Rule("few_words", "variety", f"1 - {share('n_distinct')}", reject=0.9, keep=0.6, least=50),
+        Rule("word_length", "word_length", share("word_chars"), reject=25.0, keep=12.0),
     ]
 
 
+def groups_of(rules: Sequence[Rule]) -> list[str]:
+    """The groups, in the order in which rules name them."""
+    return list(dict.fromkeys(r.group for r in rules))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value`` evaluated once: an expression inside a lambda is otherwise evaluated for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -110,41 +124,42 @@ def rule_features(docs: DataFrame, text_col: str = "text", carry: Sequence[str]
 
 
 def vote_code(rules: Sequence[Rule]) -> Column:
-    """The votes as the digits of one number, the first rule's last: 0 reject, 1 abstain, 2 keep."""
+    """The groups' votes as the digits of one number, the first group's last: 0 reject, 1 abstain, 2 keep."""
     code = F.lit(0)
-    for i, r in enumerate(rules):
-        value = F.expr(r.value)
-        vote = F.when((F.col("n_words") < r.least) | value.isNull(), 1)
-        vote = vote if r.reject is None else vote.when(value >= r.reject, 0)
-        vote = (vote if r.keep is None else vote.when(value <= r.keep, 2)).otherwise(1)
-        code = code + vote * 3**i
+    for i, group in enumerate(groups_of(rules)):
+        rejects = keeps = F.lit(False)
+        for r in (r for r in rules if r.group == group):
+            value, counts = F.expr(r.value), F.col("n_words") >= r.least
+            rejects = rejects if r.reject is None else rejects | F.coalesce(counts & (value >= r.reject), F.lit(False))
+            keeps = keeps if r.keep is None else keeps | F.coalesce(counts & (value <= r.keep), F.lit(False))
+        code = code + F.when(rejects, 0).when(keeps, 2).otherwise(1) * 3**i
     return code.cast("int")
 
 
-def fit_patterns(counts: DataFrame, n_rules: int, rounds: int = 20) -> DataFrame:
-    """(pattern, n) rows -> (pattern, p_good).
+def group_odds(rules: Sequence[Rule]) -> list[float]:
+    """The odds of each group: those of its loosest rule."""
+    return [min(r.odds for r in rules if r.group == g) for g in groups_of(rules)]
 
-    Two classes; the first guess calls a pattern bad if any rule rejects. A vote counts by the ratio of
-    its chances in the two classes, an abstention not at all. Each estimate of P(vote | class) is drawn
-    half way to ``EXPECTED``: rules are written so that they seldom reject a good document. Without it,
-    rules that reject the same documents take the bad class for themselves, and the documents that one
-    rule alone rejects come out good."""
-    digits = lambda p: F.transform(F.sequence(F.lit(0), F.lit(n_rules - 1)), lambda r: (F.floor(p["pattern"] / F.pow(F.lit(3.0), r)) % 3).cast("int"))
+
+def fit_patterns(counts: DataFrame, odds: Sequence[float], rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, n) rows -> (pattern, p_good); ``odds`` holds each group's.
+
+    Two classes; the first guess calls a pattern bad if any group rejects. A group's vote is a draw with a
+    chance of rejecting in each class, an abstention no draw at all. Chances are maximum a posteriori estimates: the
+    class's votes and ``BELIEF`` more as ``EXPECTED``, so the belief fades as documents come. They keep to two
+    bounds: ``MOST_FOUND`` on bad documents, and on good ones the chance on bad ones over the group's odds.
+    Without the second, a group that alone rejects some documents cannot be told from one that errs, and the two
+    classes become one; without the first, the commonest kind of bad documents passes for all. An empty table
+    gives no rows; a pattern may count 0."""
+    n_groups = len(odds)
+    digits = lambda p: F.transform(F.sequence(F.lit(0), F.lit(n_groups - 1)), lambda r: (F.floor(p["pattern"] / F.pow(F.lit(3.0), r)) % 3).cast("int"))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    cells = F.sequence(F.lit(0), F.lit(3 * n_rules - 1))
-
-    def logs(weights: Column, ds: Column, expected: tuple[float, float]) -> Column:
-        """ln P(vote) of each rule and vote, given the weight of each pattern in the class."""
-        return let(
-            total(weights),
-            lambda whole: F.transform(
-                cells,
-                lambda j: F.log(
-                    (1 - BELIEF) * total(F.zip_with(weights, ds, lambda x, d: F.when(F.get(d, F.floor(j / 3).cast("int")) == j % 3, x).otherwise(F.lit(0.0)))) / F.greatest(whole, F.lit(1e-9))
-                    + BELIEF * F.when(j % 3 == 0, expected[0]).otherwise(expected[1])
-                ),
-            ),
-        )
+    groups = F.sequence(F.lit(0), F.lit(n_groups - 1))
+
+    def rejecting(weights: Column, ds: Column, expected: float, most: Column) -> Column:
+        """P(reject | a vote) of each group, given the weight of each pattern in the class, and ``most`` of each."""
+        of = lambda r, test: total(F.zip_with(weights, ds, lambda x, d: F.when(test(F.get(d, r)), x).otherwise(F.lit(0.0))))
+        return F.transform(groups, lambda r: F.least((of(r, lambda v: v == 0) + BELIEF * expected) / (of(r, lambda v: v != 1) + BELIEF), F.get(most, r)))
 
     def step(q: Column, ns: Column, ds: Column) -> Column:
         bad = F.zip_with(ns, q, lambda n, x: n * x)
@@ -152,11 +167,20 @@ def fit_patterns(counts: DataFrame, n_rules: int, rounds: int = 20) -> DataFrame
 
         def posterior(b: Column, g: Column) -> Column:
             prior = F.log((total(b) + 1.0) / (total(g) + 1.0))
-            odds = lambda d, lb, lg, p: F.aggregate(F.sequence(F.lit(0), F.lit(n_rules - 1)), p, lambda a, r: a + F.when(F.get(d, r) == 1, 0.0).otherwise(F.get(lb, r * 3 + F.get(d, r)) - F.get(lg, r * 3 + F.get(d, r))))
-            return let(prior, lambda p: let(logs(b, ds, EXPECTED["bad"]), lambda lb: let(logs(g, ds, EXPECTED["good"]), lambda lg: F.transform(ds, lambda d: 1 / (1 + F.exp(-F.greatest(F.least(odds(d, lb, lg, p), F.lit(500.0)), F.lit(-500.0))))))))
+            vote = lambda v, x, y: F.when(v == 0, F.log(x / y)).when(v == 2, F.log((1 - x) / (1 - y))).otherwise(0.0)
+            sums = lambda d, xs, ys, p: F.aggregate(groups, p, lambda a, r: a + vote(F.get(d, r), F.get(xs, r), F.get(ys, r)))
+            chances = lambda xs, ys, p: F.transform(ds, lambda d: 1 / (1 + F.exp(-F.greatest(F.least(sums(d, xs, ys, p), F.lit(500.0)), F.lit(-500.0)))))
+            least_odds = lambda xs: F.zip_with(xs, F.array(*[F.lit(float(x)) for x in odds]), lambda x, y: x / y)
+            most = F.transform(groups, lambda _: F.lit(MOST_FOUND))
+            return let(prior, lambda p: let(rejecting(b, ds, EXPECTED["bad"], most), lambda xs: let(rejecting(g, ds, EXPECTED["good"], least_odds(xs)), lambda ys: chances(xs, ys, p))))
 
         return let(bad, lambda b: let(good, lambda g: posterior(b, g)))
 
+    def turn(state: Column, ns: Column, ds: Column) -> Column:
+        moved = lambda new: F.coalesce(F.array_max(F.zip_with(new, state["q"], lambda x, y: F.abs(x - y))), F.lit(0.0))
+        made = let(step(state["q"], ns, ds), lambda new: F.struct(new.alias("q"), (moved(new) < CLOSE).alias("done")))
+        return F.when(state["done"], state).otherwise(made)
+
     one = counts.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("pattern"), F.col("n")))).alias("table"))
     fitted = one.select(
         let(
@@ -167,7 +191,12 @@ def fit_patterns(counts: DataFrame, n_rules: int, rounds: int = 20) -> DataFrame
                     F.transform(t, digits),
                     lambda ds: F.arrays_zip(
                         F.transform(t, lambda p: p["pattern"]).alias("pattern"),
-                        F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.transform(ds, lambda d: F.when(F.array_contains(d, 0), 0.9).otherwise(0.05)), lambda q, _: step(q, ns, ds)).alias("p_bad"),
+                        F.aggregate(
+                            F.sequence(F.lit(1), F.lit(rounds)),
+                            F.struct(F.transform(ds, lambda d: F.when(F.array_contains(d, 0), 0.9).otherwise(0.05)).alias("q"), F.lit(False).alias("done")),
+                            lambda state, _: turn(state, ns, ds),
+                            lambda state: state["q"],
+                        ).alias("p_bad"),
                     ),
                 ),
             ),
@@ -176,18 +205,18 @@ def fit_patterns(counts: DataFrame, n_rules: int, rounds: int = 20) -> DataFrame
     return fitted.select(F.explode("fit").alias("f")).select(F.col("f")["pattern"].alias("pattern"), (1 - F.col("f")["p_bad"]).alias("p_good"))
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None, carry: Sequence[str] | None = None, threshold: float = 0.5, rounds: int = 20) -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None, carry: Sequence[str] | None = None, threshold: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
     """``carry`` columns (all by default) with the counts, ``base_failed``, ``pattern``, ``p_good`` and ``kept``.
 
     A document fails the base check with fewer than 20 words or with over 30 % of its words in repeated
     8-word windows; else it is kept if ``p_good`` >= ``threshold``. A null or empty text has no words and
-    so fails. Rows that repeat are judged alike; an empty table gives an empty result. Columns of
-    ``docs`` named like an output column are replaced."""
+    so fails. The fit counts documents that pass the base check, whose fate it decides. Rows that repeat are judged alike; an empty table gives an empty result. Columns of
+    ``docs`` named like an output column, in whatever case, are replaced."""
     rules = default_rules() if rules is None else rules
     made = {*BASE, "n_lines", "n_upper", "n_letters", "n_shouts", "n_runs", "n_distinct", "base_failed", "pattern", "p_good", "kept", "__text", "__words", "__lines"}
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in made]
-    seen = settle(rule_features(docs, text_col, carry).withColumn("pattern", vote_code(rules)), "rule-features")
-    fit = fit_patterns(seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), len(rules), rounds)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    # at most 3 ** rules rows, by construction
+    seen = settle(rule_features(docs, text_col, carry).withColumn("pattern", vote_code(rules)), "rule-features")
+    fit = fit_patterns(seen.groupBy("pattern").agg(F.count(F.when(~failed, 1)).alias("n")), group_odds(rules), rounds)
+    # at most 3 ** groups rows, by construction
     return seen.join(F.broadcast(fit), "pattern").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
