@@ -118,7 +118,7 @@ SQL = {
     "op2_url_filters": """
         WITH captures AS (
             SELECT page_id, TIMESTAMP '2024-01-01' + to_days(CAST(page_id * 37 % 366 AS INTEGER)) AS fetched_at,
-                   nullif(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\\.$', ''), '') AS host
+                   nullif(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/?#:@\\[]+)', 1)), '\\.$', ''), '') AS host
             FROM pages),
         hosts AS (SELECT DISTINCT host AS pattern, CAST('0x' || substr(md5(host), 1, 6) AS INTEGER) AS h FROM captures WHERE host IS NOT NULL),
         chosen AS (SELECT pattern, h, h % 180 AS d FROM hosts WHERE h % 3 = 0 OR pattern LIKE 'spam%'),
@@ -129,7 +129,7 @@ SQL = {
         valid AS (SELECT list, pattern, TIMESTAMP '2024-01-01' + to_days(d0) AS valid_from, TIMESTAMP '2024-01-01' + to_days(d1) AS valid_to FROM intervals),
         hits AS (
             SELECT c.page_id, v.*, row_number() OVER (PARTITION BY c.page_id ORDER BY length(v.pattern) DESC, v.valid_from DESC, v.list) AS k
-            FROM captures c JOIN valid v ON (c.host = v.pattern OR c.host LIKE '%.' || v.pattern)
+            FROM captures c JOIN valid v ON (c.host = v.pattern OR c.host LIKE '%.' || v.pattern AND NOT regexp_matches(c.host, '^\\[|^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$'))
                 AND v.valid_from <= c.fetched_at AND (v.valid_to IS NULL OR c.fetched_at < v.valid_to))
         SELECT c.page_id, c.host, c.fetched_at, h.pattern IS NOT NULL AS listed, h.list, h.pattern, h.valid_from
         FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND h.k = 1

@@ -13,12 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HOST = "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+from tickloom.llm.tokens import beside
+
+HOST = "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/?#:@\\[]+)"
+#: Addresses, which have no hosts below or above them: IPv6 in brackets, and four numbers.
+ADDRESS = "^\\[|^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$"
 INTERVAL = "array<struct<valid_from:timestamp_ntz,valid_to:timestamp_ntz,list:string>>"
 
 
 def url_host(url: Column) -> Column:
-    """The lower-cased host of an absolute URL, without a final dot; null for anything else."""
+    """The lower-cased host of an absolute URL, without a final dot; null for anything else. User information ends at the
+    last @ before the path; an IPv6 address keeps its brackets."""
     found = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), "\\.$", "")
     return F.when(found != "", found)
 
@@ -42,14 +47,17 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url
 
     The most specific pattern with an interval that holds the fetch time decides (``valid_from`` <= time <
     ``valid_to``); of its intervals, the latest begun, then the first list by name. Hosts are looked up at
-    all levels from the host itself upwards, single labels excluded. A null or relative URL
-    or a null time matches nothing. Repeated rows pass through; columns named like the result's are
-    replaced. An empty list or table gives no matches or no rows."""
+    all levels from the host itself upwards, single labels excluded; an IP address, IPv6 in its brackets, is looked
+    up as a whole only. A null or relative URL or a null time matches nothing. All intervals of one pattern over all
+    lists lie in one row, so they are bounded by a pattern's history and not by captures. Repeated rows pass
+    through; columns named like the result's, in whatever case, are replaced. An empty list or table gives no matches or no rows."""
     made = ["host", "listed", "list", "pattern", "valid_from"]
-    rows = captures.drop(*made).withColumn("host", url_host(F.col(url_col)))
+    plain = beside(captures.columns, *made, "__host", "__found", "__hit")
+    rows = captures.select(*plain).withColumn("host", url_host(F.col(url_col)))
     by_pattern = validity_intervals(entries).groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("valid_from", "valid_to", "list"))).cast(INTERVAL).alias("intervals"))
     hosts = rows.select(F.col("host").alias("__host")).where("__host IS NOT NULL").distinct().withColumn("__labels", F.split("__host", "\\."))
-    tried = hosts.where(F.size("__labels") >= 2).withColumn("level", F.explode(F.sequence(F.lit(1), F.size("__labels") - 1)))
+    top = F.when(F.col("__host").rlike(ADDRESS), 1).otherwise(F.size("__labels") - 1)
+    tried = hosts.where((F.size("__labels") >= 2) | F.col("__host").rlike(ADDRESS)).withColumn("level", F.explode(F.sequence(F.lit(1), top)))
     tried = tried.select("__host", "level", F.array_join(F.slice("__labels", F.col("level"), F.size("__labels")), ".").alias("pattern"))
     found = tried.join(by_pattern, "pattern").groupBy("__host").agg(F.sort_array(F.collect_list(F.struct("level", "pattern", "intervals"))).alias("__found"))
 
@@ -60,4 +68,4 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url
 
     rows = rows.join(found, F.col("host") == F.col("__host"), "left")
     rows = rows.withColumn("__hit", F.get(F.filter(F.transform("__found", deciding), lambda x: x["list"].isNotNull()), F.lit(0)))
-    return rows.select(*[c for c in captures.columns if c not in made], "host", F.col("__hit").isNotNull().alias("listed"), F.col("__hit.list").alias("list"), F.col("__hit.pattern").alias("pattern"), F.col("__hit.valid_from").alias("valid_from"))
+    return rows.select(*plain, "host", F.col("__hit").isNotNull().alias("listed"), F.col("__hit.list").alias("list"), F.col("__hit.pattern").alias("pattern"), F.col("__hit.valid_from").alias("valid_from"))
