@@ -1,9 +1,8 @@
 """Quality classifier from compressed sizes.
 
 Two zstandard dictionaries are trained, on good and on bad labelled text. A text that the good one helps
-more to compress is likelier good: the difference of its compressed sizes, normalised by the text's
-size and by their sum, and the smaller normalised size itself go through a logistic calibration that is
-fitted on labelled texts kept out of the dictionaries.
+more to compress is likelier good: the difference of its two compressed sizes over its own size goes through a
+logistic calibration that is fitted on labelled texts kept out of the dictionaries.
 """
 
 from __future__ import annotations
@@ -16,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.tokens import slices
+from tickloom.llm.tokens import beside, slices
 
 #: Bounds of the labelled sample that the driver gathers: texts of each class, and bytes of a text.
 PER_CLASS, TEXT_BYTES = 2000, 32_768
-DICT_BYTES, CHUNK, LEVEL = 65_536, 2048, 3
+#: Small enough that a few hundred labelled texts of a class fill it: dictionaries of unequal size would skew the difference.
+DICT_BYTES, CHUNK, LEVEL = 32_768, 2048, 3
 
 
 @dataclass(frozen=True)
@@ -43,19 +43,18 @@ class Sizer:
 
         self.good, self.bad = compressor(good), compressor(bad)
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
-        if not text:
-            return 0.0, 0.0, 1.0
+    def difference(self, text: bytes) -> float:
+        """(bad - good) of the compressed sizes over the text's; 0 of an empty text."""
         g = b = 0
         for i in range(0, len(text), CHUNK):
             part = text[i : i + CHUNK]
             g += len(self.good.compress(part))
             b += len(self.bad.compress(part))
-        return (b - g) / len(text), (b - g) / (b + g), min(g, b) / len(text)
+        return (b - g) / len(text) if text else 0.0
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights (the last is the intercept) by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights (the last is the intercept) by Newton's method, with a small ridge so that classes that separate stay finite."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(30):
@@ -80,7 +79,7 @@ def fit_texts(good: list[bytes], bad: list[bytes]) -> Model | None:
     except zstandard.ZstdError:  # too little text for a dictionary: the text itself serves as one
         made = tuple(b"\n".join(t)[:DICT_BYTES] or b"\n" for t in (good[::2], bad[::2]))
     sizer = Sizer(*made)
-    x = np.asarray([sizer.features(t) for t in good[1::2] + bad[1::2]])
+    x = np.asarray([[sizer.difference(t)] for t in good[1::2] + bad[1::2]])
     y = np.asarray([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
     return Model(*made, tuple(logistic(x, y)))
 
@@ -115,8 +114,8 @@ def _score(model: Model | None, prior: float):
             for at, texts in slices(b.column(b.num_columns - 1)):
                 if model:
                     sizer = _SIZERS[model.good, model.bad]
-                    x = np.asarray([(*sizer.features(t.encode()), 1.0) for t in texts])
-                    score = 1 / (1 + np.exp(-np.clip(x @ np.asarray(model.weights), -30, 30)))
+                    x = np.asarray([sizer.difference(t.encode()) for t in texts])
+                    score = 1 / (1 + np.exp(-np.clip(x * model.weights[0] + model.weights[1], -30, 30)))
                 else:
                     score = np.full(len(texts), prior)
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in b.columns[:-1]), pa.array(score)], [*b.schema.names[:-1], "score"])
@@ -125,12 +124,12 @@ def _score(model: Model | None, prior: float):
 
 
 def classify(docs: DataFrame, model: Model | None, prior: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
-    """``carry`` columns (all by default) with ``held_out``, ``score`` and ``predicted``; columns so named are replaced.
+    """``carry`` columns (all by default) with ``held_out``, ``score`` and ``predicted``; columns so named, in whatever case, are replaced.
 
     Null is the empty text; an empty text's score is the calibration's at no difference. Without a
     model (a class with too few labels) every score is ``prior``. Rows that repeat score alike; an empty
     table gives an empty result."""
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("held_out", "score", "predicted")]
+    carry = beside(docs.columns if carry is None else carry, "held_out", "score", "predicted", "__text")
     rows = docs.select(*carry, F.col(text_col).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + ["score double"])
     out = rows.mapInArrow(_score(model, prior), schema).withColumn("held_out", held_out(id_col))
