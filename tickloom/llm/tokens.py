@@ -9,8 +9,9 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Unicode white space, as the split patterns of the vocabularies know it.
-SPACE = "\t\n\v\f\r \x85\xa0  -     　"
+#: Unicode white space, as the split patterns of the vocabularies know it (fixed values), and as a character class.
+SPACES = frozenset(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SPACE = "".join(map(re.escape, sorted(SPACES)))
 #: Chunks whose borders are always borders of pre-tokens of a byte-level vocabulary: a run without
 #: white space and the single space before it, or white space alone.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
