@@ -26,10 +26,16 @@ def base_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
+def day(n):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+
+
 def brute_em(counts, odds, rounds=quality_rules.ROUNDS):
     """The same model in plain Python, run until nothing moves."""
     digits = {p: [p // 3**r % 3 for r in range(len(odds))] for p in counts}
     q = {p: 0.9 if 0 in digits[p] else 0.05 for p in counts}
+    rejected = sum(n for p, n in counts.items() if 0 in digits[p])
+    prior = math.log((rejected + 1) / (sum(counts.values()) - rejected + 1))
     for _ in range(rounds):
         bad = {p: n * q[p] for p, n in counts.items()}
         good = {p: n * (1 - q[p]) for p, n in counts.items()}
@@ -40,7 +46,6 @@ def brute_em(counts, odds, rounds=quality_rules.ROUNDS):
                 found = rejects / (sum(x for p, x in w.items() if digits[p][r] != 1) + quality_rules.BELIEF)
                 found = min(found, quality_rules.MOST_FOUND if name == "bad" else chance["bad", r, 0] / least)
                 chance[name, r, 0], chance[name, r, 2] = found, 1 - found
-        prior = math.log((sum(bad.values()) + 1) / (sum(good.values()) + 1))
         before, q = q, {p: 1 / (1 + math.exp(-prior - sum(math.log(chance["bad", r, v] / chance["good", r, v]) for r, v in enumerate(d) if v != 1))) for p, d in digits.items()}
         if max(abs(q[p] - before[p]) for p in q) < 1e-9:
             break
@@ -63,6 +68,31 @@ def test_groups_that_reject_alone_are_believed(spark):
         assert found[0, 2, 2, 2, 2] < 0.3 and found[2, 0, 2, 1, 2] < 0.5 and found[2, 2, 2, 2, 2] > 0.9
 
 
+def test_url_hosts(spark):
+    urls = {
+        "http://[2001:DB8::1]:80/x": "[2001:db8::1]", "http://user:p@ss@Example.org/": "example.org", "http://a@b/c@d.org": "b", "http://127.10.0.0.1/": "127.10.0.0.1",
+        "http://10.0.0.1:8080": "10.0.0.1", "http://x.org?u=a@evil.org": "x.org", "http://": None, "http://@/": None, "mailto:me@x.org": None, "//x.org": None, "http://x.org.": "x.org", "http://[::1": None,
+    }
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_filters.url_host(F.col("url"))).collect()
+    assert {r[0]: r[1] for r in rows} == urls
+
+
+def test_addresses_have_no_hosts_below_them(spark):
+    entries = spark.createDataFrame([("a", p, "add", day(1)) for p in ("0.0.1", "10.0.0.1", "[2001:db8::1]", "0.1.example.org")] + [("b", "10.0.0.1", "add", day(1))], "list string, pattern string, action string, at timestamp_ntz")
+    hits = {"http://10.0.0.1/": "10.0.0.1", "http://99.0.0.1/": None, "http://7.10.0.0.1/": "10.0.0.1", "http://[2001:db8::1]/": "[2001:db8::1]", "http://[2001:db8::2]/": None, "http://9.0.1.example.org/": "0.1.example.org"}
+    captures = spark.createDataFrame([(u, day(3), "clash") for u in hits] * 2, "url string, fetched_at timestamp_ntz, Listed string")
+    out = url_filters.filter_captures(captures, entries)
+    assert out.columns == ["url", "fetched_at", "host", "listed", "list", "pattern", "valid_from"]
+    # of lists that tie, the first by name decides
+    assert collections.Counter((r["url"], r["pattern"], r["list"]) for r in out.collect()) == collections.Counter({(u, p, p and "a"): 2 for u, p in hits.items()})
+
+
+def test_very_long_urls_and_histories(spark):
+    entries = spark.createDataFrame([("a", "x.org", "add" if i % 2 else "remove", day(i)) for i in range(1, 400)], "list string, pattern string, action string, at timestamp_ntz")
+    captures = spark.createDataFrame([("http://x.org/" + "p" * 1_000_000, day(d)) for d in (0, 1, 2, 399)], "url string, fetched_at timestamp_ntz")
+    assert sorted((r["fetched_at"], r["listed"]) for r in url_filters.filter_captures(captures, entries).collect()) == [(day(0), False), (day(1), True), (day(2), False), (day(399), True)]
+
+
 def test_the_posterior_overrules_a_group_that_stands_alone(spark):
     # four groups reject the same documents; the fifth rejects others that all four keep
     found = fitted(spark, {(2, 2, 2, 2, 2): 8500, (0, 0, 0, 0, 2): 600, (0, 0, 0, 2, 2): 200, (2, 2, 2, 2, 0): 400}, [50.0] * 5)
@@ -70,18 +100,10 @@ def test_the_posterior_overrules_a_group_that_stands_alone(spark):
 
 
 def test_weak_votes_that_agree_drop_a_text(spark):
-    # two noisy groups each reject many good documents alone; together they reject what the others abstain on
-    chance = {"good": [0.1, 0.1, 0.01], "bad": [0.7, 0.7, 0.5]}
-    votes = collections.Counter()
-    for name, n in (("good", 9000), ("bad", 1500)):
-        for a in (0, 2):
-            for b in (0, 2):
-                for c in (0, 2):
-                    votes[a, b, c] += round(n * math.prod(p if v == 0 else 1 - p for v, p in zip((a, b, c), chance[name])))
-    votes[0, 0, 1] = 60
-    found = fitted(spark, votes, [3.0, 3.0, 50.0])
-    assert found[0, 2, 2] > 0.5 and found[2, 0, 2] > 0.5
-    assert found[0, 0, 1] < 0.5 and found[0, 0, 0] < 0.01
+    # each of the last two groups is overruled where it rejects alone, but not where both reject
+    votes = {(2, 2, 2, 2, 2, 2): 8500, (0, 0, 0, 0, 2, 2): 600, (0, 0, 0, 2, 2, 2): 200, (2, 2, 2, 2, 0, 2): 300, (2, 2, 2, 2, 2, 0): 300, (2, 2, 2, 2, 0, 0): 30}
+    found = fitted(spark, votes, [50.0] * 6)
+    assert found[2, 2, 2, 2, 0, 2] > 0.5 and found[2, 2, 2, 2, 2, 0] > 0.5 and found[2, 2, 2, 2, 0, 0] < 0.1
 
 
 def test_rules_of_one_group_have_one_vote(spark):
@@ -120,7 +142,7 @@ def test_quality_rules_run_no_python_and_take_no_rows(spark):
 
 def test_classifier_separates_held_out_texts(spark):
     rows = [(i, prose(i, 80) if i % 3 else " ".join(w.upper() + "!!" for w in prose(i, 60).split()), "en") for i in range(240)]
-    docs = spark.createDataFrame(rows + awkward()[3:5] + awkward()[5:7], SCHEMA).withColumn("score", F.lit("clash"))
+    docs = spark.createDataFrame(rows + awkward()[3:5] + awkward()[5:7], SCHEMA).withColumn("Score", F.lit("clash"))
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(240)] + [(None, 1, 0), (5, None, 0)], "doc_id bigint, quality int, toxic int")
     model, prior = cc.fit(docs, labels)
     out = {r["doc_id"]: r for r in cc.classify(docs, model, prior).collect()}
@@ -132,6 +154,37 @@ def test_classifier_separates_held_out_texts(spark):
     assert out[None]["held_out"] is False
 
 
+def test_classifier_against_plain_python(spark):
+    import zstandard
+
+    texts = {i: prose(i, 700 if i % 7 == 0 else 90) if i % 2 else " ".join(w.upper() + "?!" for w in prose(i, 70).split()) for i in range(120)}
+    rows = [(i, t, "en") for i, t in texts.items()] + [(500, "", "en"), (501, None, "en"), (502, prose(9, 30000), "en")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in texts if i % 3], "doc_id bigint, quality int, toxic int")
+    model, prior = cc.fit(docs, labels)
+    # the sample: labelled, learnable texts, in the order of their ids
+    known = [i for i in texts if i % 3 and zlib.crc32(str(i).encode()) % 5]
+    good, bad = ([texts[i].encode() for i in known if i % 2 == q] for q in (1, 0))
+
+    def size(dictionary, text):
+        coder = zstandard.ZstdCompressor(level=cc.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False, write_checksum=False)
+        return sum(len(coder.compress(text[i : i + cc.CHUNK])) for i in range(0, len(text), cc.CHUNK))
+
+    def difference(text):
+        g, b = size(model.good, text), size(model.bad, text)
+        return (b - g) / len(text) if text else 0.0
+
+    x = np.asarray([difference(t) for t in good[1::2] + bad[1::2]])
+    y = np.asarray([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
+    w, c = model.weights
+    p = 1 / (1 + np.exp(-(w * x + c)))
+    # the calibration is where the penalised likelihood is flat
+    assert abs(((y - p) * x).sum() - 1e-3 * w) < 1e-5 and abs((y - p).sum()) < 1e-4 and w > 0
+    for r in cc.classify(docs, model, prior).collect():
+        wanted = 1 / (1 + math.exp(-max(-30, min(30, w * difference((r["text"] or "").encode()) + c))))
+        assert r["score"] == pytest.approx(wanted, abs=1e-9) and r["predicted"] == int(wanted >= 0.3)
+
+
 def test_classifier_without_labels(spark):
     docs = spark.createDataFrame(awkward(), SCHEMA)
     model, prior = cc.fit(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
@@ -348,10 +401,6 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def day(n):
-    return dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
-
-
 def test_url_filters(spark):
     entries = spark.createDataFrame(
         [("a", "Bad.com", "add", day(10)), ("a", "bad.com", "add", day(12)), ("a", "bad.com", "remove", day(20)), ("a", "bad.com", "add", day(30)), ("b", "x.bad.com", "add", day(15)), ("b", "now.org", "add", day(5)), ("b", "now.org", "remove", day(5)), (None, "z.com", "add", day(1)), ("a", "com", "add", day(1)), ("a", "q.com", "remove", day(3))],
@@ -402,3 +451,36 @@ def test_pipeline_against_its_operators(spark, tmp_path):
         lengths[r["doc_id"]] += r["length"]
     assert all(4 * n == len(encoder.encode([texts[i]])[0]) + 4 for i, n in lengths.items())
     assert len(corpus_pipeline.STAGES) == 5
+
+
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.mark.parametrize("labels", [[], [(i, i % 2, 0) for i in range(60)]])
+def test_pipeline_stages_take_awkward_rows(spark, tmp_path, labels):
+    import corpus_pipeline
+
+    rows = [(i, t, x, None, None) for i, t, x in awkward()] + [(None, prose(70, 90), "en", "s", 1)] * 2 + [(77, prose(71, 90), None, "s", 1)] * 3 + [(78, prose(72, 20000), "en", "s", 1)]
+    rows += [(600 + i, prose(600 + i, 60), "en", "s", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, DOCUMENTS).withColumn("Extra", F.lit("x"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        assert not collections.Counter(map(tuple, kept.collect())) - collections.Counter(map(tuple, docs.collect())), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.pack(spark, docs.limit(0), str(tmp_path)).count() == 0
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    packed = collections.Counter(r["doc_id"] for r in out if r["start"] == 0)
+    # repeated rows and copies are gone, the long text and the row without an id are there
+    assert packed[77] == packed[78] == packed[None] == 1 and all(n == 1 for n in packed.values()) and not {3, 4, 12} & set(packed)
+
+
+def test_pipeline_without_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("documents", DOCUMENTS), ("labels", "doc_id bigint, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

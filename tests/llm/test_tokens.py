@@ -1,7 +1,9 @@
 import base64
 import hashlib
 import random
+import re
 import struct
+import time
 import zlib
 
 import public_tokenizers
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.cases import SCHEMA, awkward
 from tickloom.llm import bfd_packing, byte_bpe, edit_counts, harmonic_packing
-from tickloom.llm.tokens import CHUNK, byte_encoder, word_encoder
+from tickloom.llm.tokens import CHUNK, SPACES, byte_encoder, word_encoder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -35,8 +37,8 @@ def packed(ids):
 
 
 def test_encode_equals_the_rank_library(spark, encoding):
-    docs = spark.createDataFrame(awkward(), SCHEMA).withColumn("n_tokens", F.lit("clash"))
-    rows = byte_bpe.encode(docs, RANKS, carry=("doc_id", "text", "lang", "n_tokens"), decode=True, offsets=True).collect()
+    docs = spark.createDataFrame(awkward(), SCHEMA).withColumn("N_Tokens", F.lit("clash"))
+    rows = byte_bpe.encode(docs, RANKS, carry=("doc_id", "text", "lang", "N_Tokens"), decode=True, offsets=True).collect()
     assert len(rows) == len(awkward())
     for r in rows:
         text = r["text"] or ""
@@ -67,6 +69,15 @@ def test_decode_stream_joins_split_characters(spark):
     assert row[0]["decoded_text"] == text and row[1]["decoded"] is None
 
 
+def test_decode_awkward_rows(spark):
+    whole = byte_encoder(RANKS).encode(["one"])[0]
+    rows = spark.createDataFrame([(1, whole, "x"), (1, whole, "x"), (None, b"", "x"), (2, packed([4_000_000_000]), "x"), (3, whole + b"\x01", None)], "doc_id int, ids_le binary, Decoded string")
+    out = byte_bpe.decode(rows, RANKS, carry=("doc_id", "Decoded"))
+    assert out.columns == ["doc_id", "decoded", "decoded_text"]
+    assert sorted((r["doc_id"] or 0, r["decoded_text"]) for r in out.collect()) == [(0, ""), (1, "one"), (1, "one"), (2, "\ufffd"), (3, "one")]
+    assert byte_bpe.decode(rows.limit(0), RANKS).count() == 0
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert byte_bpe.encode(none, RANKS).count() == 0
@@ -155,8 +166,11 @@ def test_bfd_packing_is_lossless(spark):
     assert len({r["sequence_id"] for r in out}) == len(out)
 
 
-@settings(max_examples=120, deadline=None)
-@given(st.text(alphabet="ab \n.é1", max_size=400), st.lists(st.tuples(st.floats(0, 1), st.floats(0, 1), st.text(alphabet="ab \n9", max_size=300)), max_size=5))
+BLANKS = " \n\t\x85\xa0\u1680\u2000\u2003\u2009\u200a\u2028\u202f\u205f\u3000"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab-.é1" + BLANKS, max_size=400), st.lists(st.tuples(st.floats(0, 1), st.floats(0, 1), st.text(alphabet="ab9-" + BLANKS, max_size=300)), max_size=5))
 def test_edits_count_like_encoding_again(text, edits):
     encoder = byte_encoder(RANKS)
     tree = edit_counts.TokenTree(text, edit_counts.counter(encoder))
@@ -185,6 +199,78 @@ def test_edits_cut_white_space_like_the_whole_text():
         assert chunks(text, start, end, new) == (whole, len(whole)), (text, start, end, new)
 
 
+def test_edits_beside_rare_spaces():
+    assert {c for c in map(chr, range(0x3001)) if c.isspace()} - SPACES == set("\x1c\x1d\x1e\x1f") and all(c.isspace() for c in SPACES)
+    rng, encoder = random.Random(7), byte_encoder(RANKS)
+    for _ in range(3000):
+        text = "".join(rng.choice("1a-" + BLANKS) for _ in range(rng.randint(1, 9)))
+        start, end = sorted(rng.randint(0, len(text)) for _ in range(2))
+        new = "".join(rng.choice("a-" + BLANKS) for _ in range(rng.randint(0, 2)))
+        tree = edit_counts.TokenTree(text, edit_counts.counter(encoder))
+        tree.edit(start, end, new)
+        assert tree.total == len(encoder.encode([text[:start] + new + text[end:]])[0]) // 4, (text, start, end, new)
+
+
+def test_scrubbing_reads_long_runs_once():
+    old = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    rng = random.Random(8)
+    for _ in range(4000):
+        text = "".join(rng.choice("ab1.@@- +_") for _ in range(rng.randint(0, 25)))
+        assert list(edit_counts.mail_spans(text)) == [m.span() for m in old.finditer(text)], text
+    began = time.perf_counter()
+    assert edit_counts.scrub_edits("x" * 1_000_000) == []
+    assert edit_counts.scrub_edits("a@b" * 300_000) == []
+    assert time.perf_counter() - began < 3
+
+
+def test_trees_are_kept_and_edited_in_batches(spark, encoding):
+    rows = [*awkward(), (60, " ".join(f"word{i}" for i in range(9000)), "en")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("Block", F.lit("clash"))
+    trees = edit_counts.build_trees(docs, RANKS, carry=("doc_id", "Block", "lang"))
+    assert trees.columns == ["doc_id", "lang", "tree", "block", "text", "chunk_chars", "chunk_tokens", "encoded"]
+
+    def texts(table):
+        out = {}
+        for r in table.orderBy("tree", "block").collect():
+            out.setdefault(r["tree"], [r["doc_id"], ""])[1] += r["text"]
+        return out
+
+    def checked(table):
+        found = texts(table)
+        counts = {r["tree"]: r for r in edit_counts.tree_counts(table).collect()}
+        assert counts.keys() == found.keys()
+        for tree, (doc, text) in found.items():
+            assert (counts[tree]["doc_id"], counts[tree]["n_tokens"]) == (doc, len(encoding.encode_ordinary(text)))
+        return found, counts
+
+    found, _ = checked(trees)
+    assert sorted(map(str, found.values())) == sorted(str([i, t or ""]) for i, t, _ in rows)
+    rng = random.Random(9)
+    for batch in range(2):
+        edits, wanted = [], dict(found)
+        for tree, (doc, text) in found.items():
+            if tree % 3 == batch or doc == 60:
+                a, b = sorted(rng.randint(0, len(text)) for _ in range(2))
+                b = min(b, a + 30)
+                wanted[tree] = [doc, text[:a] + "new \u2009 text" + text[b:]]
+                edits += [(tree, a, b, "new \u2009 text"), (tree, None, 3, "no"), (tree, b + 1, b, "no")]
+        edits += [(10**12, 0, 0, "no"), (None, 0, 0, "no")]
+        before = trees
+        trees = edit_counts.apply_edits(trees, spark.createDataFrame(edits, "tree bigint, start int, end int, new string"), RANKS)
+        trees = edit_counts.settle(trees, "edited-trees")
+        found, counts = checked(trees)
+        assert found == wanted
+        # only blocks that an edit touches are encoded again
+        assert all(counts[t]["n_encoded"] < 40 for t, (doc, _) in found.items() if doc == 60)
+        same = before.where("doc_id = 60").select("text").collect()
+        assert len({r[0] for r in same} - {r[0] for r in trees.where("doc_id = 60").select("text").collect()}) <= 3
+    none = spark.createDataFrame([], "tree bigint, start int, end int, new string")
+    assert texts(edit_counts.apply_edits(trees, none, RANKS)) == found
+    assert edit_counts.apply_edits(trees.limit(0), none, RANKS).count() == 0
+    whole = edit_counts.apply_edits(trees, spark.createDataFrame([(t, -5, 10**9, None) for t in found], "tree bigint, start long, end long, new string"), RANKS)
+    assert {x for _, x in texts(whole).values()} == {""} and {r["n_tokens"] for r in edit_counts.tree_counts(whole).collect()} == {0}
+
+
 def test_an_edit_encodes_little():
     text = " ".join(f"word{i}" for i in range(20000))
     tree = edit_counts.TokenTree(text, edit_counts.counter(byte_encoder(RANKS)))
@@ -196,8 +282,8 @@ def test_an_edit_encodes_little():
 
 
 def test_recount(spark, encoding):
-    docs = spark.createDataFrame([*awkward(), (50, "mail me at jo.doe@site.example.com or +49 170 1234567 today", "en")], SCHEMA).withColumn("n_edits", F.lit("clash"))
-    rows = edit_counts.recount(docs, RANKS, carry=("doc_id", "text", "n_edits")).collect()
+    docs = spark.createDataFrame([*awkward(), (50, "mail me at jo.doe@site.example.com or +49 170 1234567 today", "en")], SCHEMA).withColumn("N_Edits", F.lit("clash"))
+    rows = edit_counts.recount(docs, RANKS, carry=("doc_id", "text", "N_Edits")).collect()
     assert len(rows) == len(awkward()) + 1
     for r in rows:
         text = r["text"] or ""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.tokens import byte_characters, byte_encoder, slices
+from tickloom.llm.tokens import beside, byte_characters, byte_encoder, slices
 
 ENCODED = "n_tokens bigint, ids_le binary, decoded binary"
 OFFSETS = "starts_le binary, ends_le binary"
@@ -36,8 +36,10 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 def decode_bytes(ids_le: bytes, path: str) -> bytes:
-    """The bytes that the ids stand for; unknown ids raise IndexError."""
-    return b"".join(map(token_bytes(path).__getitem__, np.frombuffer(ids_le, "<u4").tolist()))
+    """The bytes that the ids stand for; an id the vocabulary lacks stands for U+FFFD, as broken bytes do."""
+    table = token_bytes(path)
+    ids = np.frombuffer(ids_le[: len(ids_le) // 4 * 4], "<u4").tolist()
+    return b"".join([table[i] if i < len(table) else "\ufffd".encode() for i in ids])
 
 
 def decode_stream(parts: Iterator[bytes], path: str) -> Iterator[str]:
@@ -78,9 +80,9 @@ def encode(docs: DataFrame, ranks: str, text_col: str = "text", carry: tuple[str
     ``decode`` adds ``decoded``, the bytes got back from the ids; ``offsets`` adds ``starts_le`` and
     ``ends_le``, each token's byte span. Null is the empty text, which has no tokens. Special tokens are
     ordinary text. Rows that repeat and null ids pass through; an empty table gives an empty result;
-    of clashing names, the columns made here win."""
+    of clashing names, in whatever case, the columns made here win."""
     made = ["n_tokens", "ids_le"] + ["decoded"] * decode + ["starts_le", "ends_le"] * offsets
-    carry = tuple(c for c in carry if c not in made)
+    carry = beside(carry, *made, "__text")
     kinds = {"n_tokens": "bigint"}
     rows = docs.select(*carry, F.col(text_col).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + [f"{c} {kinds.get(c, 'binary')}" for c in made])
@@ -98,7 +100,11 @@ def _decode(path: str):
 
 
 def decode(rows: DataFrame, ranks: str, ids_col: str = "ids_le", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns with ``decoded`` bytes and ``decoded_text`` (invalid bytes as U+FFFD); null ids give nulls."""
-    held = rows.select(*carry, F.col(ids_col).alias("__ids"))
+    """``carry`` columns with ``decoded`` bytes and ``decoded_text`` (invalid bytes as U+FFFD).
+
+    Null ids give nulls, no ids the empty text; an id the vocabulary lacks gives U+FFFD, and up to three bytes that
+    make no whole id are left out. Rows that repeat and null ids pass through; an empty table gives an empty
+    result; of clashing names, in whatever case, the columns made here win."""
+    held = rows.select(*beside(carry, "decoded", "decoded_text", "__ids"), F.col(ids_col).alias("__ids"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema[:-1]] + ["decoded binary", "decoded_text string"])
     return held.mapInArrow(_decode(ranks), schema)

@@ -49,8 +49,8 @@ def quality_rules(rounds: int = ROUNDS) -> str:
         bad = f"least({theta('n * q', EXPECTED['bad'])}, {MOST_FOUND}::DOUBLE)"
         good = f"least({theta('n * (1 - q)', EXPECTED['good'])}, {bad} / {least}::DOUBLE)"
         terms.append(f"CASE {digit(i)} WHEN 0 THEN ln({bad} / {good}) WHEN 2 THEN ln((1 - {bad}) / (1 - {good})) ELSE 0 END")
-    odds = f"ln((sum(n * q) OVER () + 1) / (sum(n * (1 - q)) OVER () + 1)) + {' + '.join(terms)}"
     any_reject = " OR ".join(f"{digit(i)} = 0" for i in range(len(groups)))
+    odds = f"ln((coalesce(sum(n) FILTER ({any_reject}) OVER (), 0) + 1) / (coalesce(sum(n) FILTER (NOT ({any_reject})) OVER (), 0) + 1)) + {' + '.join(terms)}"
     strip = lambda p: f"length(regexp_replace(t, '{p}', '', 'g'))"
     return rf"""
     WITH RECURSIVE

@@ -144,8 +144,9 @@ def group_odds(rules: Sequence[Rule]) -> list[float]:
 def fit_patterns(counts: DataFrame, odds: Sequence[float], rounds: int = ROUNDS) -> DataFrame:
     """(pattern, n) rows -> (pattern, p_good); ``odds`` holds each group's.
 
-    Two classes; the first guess calls a pattern bad if any group rejects. A group's vote is a draw with a
-    chance of rejecting in each class, an abstention no draw at all. Chances are maximum a posteriori estimates: the
+    Two classes; the first guess calls a pattern bad if any group rejects, and the share of such documents stays
+    the prior of the bad class: votes cannot tell how many bad documents nobody sees. A group's vote is a draw
+    with a chance of rejecting in each class, an abstention no draw at all. Chances are maximum a posteriori estimates: the
     class's votes and ``BELIEF`` more as ``EXPECTED``, so the belief fades as documents come. They keep to two
     bounds: ``MOST_FOUND`` on bad documents, and on good ones the chance on bad ones over the group's odds.
     Without the second, a group that alone rejects some documents cannot be told from one that errs, and the two
@@ -161,47 +162,38 @@ def fit_patterns(counts: DataFrame, odds: Sequence[float], rounds: int = ROUNDS)
         of = lambda r, test: total(F.zip_with(weights, ds, lambda x, d: F.when(test(F.get(d, r)), x).otherwise(F.lit(0.0))))
         return F.transform(groups, lambda r: F.least((of(r, lambda v: v == 0) + BELIEF * expected) / (of(r, lambda v: v != 1) + BELIEF), F.get(most, r)))
 
-    def step(q: Column, ns: Column, ds: Column) -> Column:
+    def step(q: Column, ns: Column, ds: Column, prior: Column) -> Column:
         bad = F.zip_with(ns, q, lambda n, x: n * x)
         good = F.zip_with(ns, q, lambda n, x: n * (1 - x))
 
         def posterior(b: Column, g: Column) -> Column:
-            prior = F.log((total(b) + 1.0) / (total(g) + 1.0))
             vote = lambda v, x, y: F.when(v == 0, F.log(x / y)).when(v == 2, F.log((1 - x) / (1 - y))).otherwise(0.0)
             sums = lambda d, xs, ys, p: F.aggregate(groups, p, lambda a, r: a + vote(F.get(d, r), F.get(xs, r), F.get(ys, r)))
             chances = lambda xs, ys, p: F.transform(ds, lambda d: 1 / (1 + F.exp(-F.greatest(F.least(sums(d, xs, ys, p), F.lit(500.0)), F.lit(-500.0)))))
             least_odds = lambda xs: F.zip_with(xs, F.array(*[F.lit(float(x)) for x in odds]), lambda x, y: x / y)
             most = F.transform(groups, lambda _: F.lit(MOST_FOUND))
-            return let(prior, lambda p: let(rejecting(b, ds, EXPECTED["bad"], most), lambda xs: let(rejecting(g, ds, EXPECTED["good"], least_odds(xs)), lambda ys: chances(xs, ys, p))))
+            return let(rejecting(b, ds, EXPECTED["bad"], most), lambda xs: let(rejecting(g, ds, EXPECTED["good"], least_odds(xs)), lambda ys: chances(xs, ys, prior)))
 
         return let(bad, lambda b: let(good, lambda g: posterior(b, g)))
 
-    def turn(state: Column, ns: Column, ds: Column) -> Column:
+    def turn(state: Column, ns: Column, ds: Column, prior: Column) -> Column:
         moved = lambda new: F.coalesce(F.array_max(F.zip_with(new, state["q"], lambda x, y: F.abs(x - y))), F.lit(0.0))
-        made = let(step(state["q"], ns, ds), lambda new: F.struct(new.alias("q"), (moved(new) < CLOSE).alias("done")))
+        made = let(step(state["q"], ns, ds, prior), lambda new: F.struct(new.alias("q"), (moved(new) < CLOSE).alias("done")))
         return F.when(state["done"], state).otherwise(made)
 
-    one = counts.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("pattern"), F.col("n")))).alias("table"))
-    fitted = one.select(
-        let(
-            F.col("table"),
-            lambda t: let(
-                F.transform(t, lambda p: p["n"].cast("double")),
-                lambda ns: let(
-                    F.transform(t, digits),
-                    lambda ds: F.arrays_zip(
-                        F.transform(t, lambda p: p["pattern"]).alias("pattern"),
-                        F.aggregate(
-                            F.sequence(F.lit(1), F.lit(rounds)),
-                            F.struct(F.transform(ds, lambda d: F.when(F.array_contains(d, 0), 0.9).otherwise(0.05)).alias("q"), F.lit(False).alias("done")),
-                            lambda state, _: turn(state, ns, ds),
-                            lambda state: state["q"],
-                        ).alias("p_bad"),
-                    ),
-                ),
+    def fold(t: Column, ns: Column, ds: Column) -> Column:
+        rejected = total(F.zip_with(ns, ds, lambda n, d: F.when(F.array_contains(d, 0), n).otherwise(F.lit(0.0))))
+        first = F.struct(F.transform(ds, lambda d: F.when(F.array_contains(d, 0), 0.9).otherwise(0.05)).alias("q"), F.lit(False).alias("done"))
+        return let(
+            F.log((rejected + 1.0) / (total(ns) - rejected + 1.0)),
+            lambda prior: F.arrays_zip(
+                F.transform(t, lambda p: p["pattern"]).alias("pattern"),
+                F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, lambda state, _: turn(state, ns, ds, prior), lambda state: state["q"]).alias("p_bad"),
             ),
-        ).alias("fit")
-    )
+        )
+
+    one = counts.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("pattern"), F.col("n")))).alias("table"))
+    fitted = one.select(let(F.col("table"), lambda t: let(F.transform(t, lambda p: p["n"].cast("double")), lambda ns: let(F.transform(t, digits), lambda ds: fold(t, ns, ds)))).alias("fit"))
     return fitted.select(F.explode("fit").alias("f")).select(F.col("f")["pattern"].alias("pattern"), (1 - F.col("f")["p_bad"]).alias("p_good"))
 
 
