@@ -460,7 +460,7 @@ DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars big
 def test_pipeline_stages_take_awkward_rows(spark, tmp_path, labels):
     import corpus_pipeline
 
-    rows = [(i, t, x, None, None) for i, t, x in awkward()] + [(None, prose(70, 90), "en", "s", 1)] * 2 + [(77, prose(71, 90), None, "s", 1)] * 3 + [(78, prose(72, 20000), "en", "s", 1)]
+    rows = [(i, t, x, None, None) for i, t, x in awkward()] + [(None, prose(70, 90), "en", "s", 1)] * 2 + [(77, prose(71, 90), None, "s", 1)] * 3 + [(78, " ".join(w + chr(97 + i % 26) + chr(97 + i // 26 % 26) for i, w in enumerate(prose(72, 20000).split())), "en", "s", 1)]
     rows += [(600 + i, prose(600 + i, 60), "en", "s", 1) for i in range(30)]
     docs = spark.createDataFrame(rows, DOCUMENTS).withColumn("Extra", F.lit("x"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
