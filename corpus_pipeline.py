@@ -21,24 +21,46 @@ from tickloom.llm.store import settle
 
 
 def reject_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality rules keep, with the columns of ``docs``.
+
+    Null and empty texts fail the base check and go. Rows that repeat are judged alike, null ids like others; an empty
+    table gives no rows; extra columns come along, unless named like the rules' own."""
     return quality_rules(docs).where("kept").select(docs.columns)
 
 
 def reject_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier takes for good, with the columns of ``docs``.
+
+    It learns from the labelled rows of the source table but those held out; with too few labels of a class every
+    row has the labels' share as its score, and an empty table of labels keeps all. Null is the empty text. Rows that
+    repeat are judged alike; an empty table gives no rows; extra columns come along, unless named like the
+    classifier's own."""
     source, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
     model, prior = compression_classifier.fit(source, labels)
     return compression_classifier.classify(docs, model, prior).where("predicted = 1").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, that of the largest id, with the columns of ``docs``.
+
+    Null counts as the empty text; a null id stays only where no other id has the text; of rows that repeat an id and
+    its text one stays. An empty table gives no rows; extra columns come along, unless named like the operator's own."""
     return exact_dedup(docs, keep="largest").where("kept").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts linked by a similarity of 0.8 or more the row with the smallest id, with all columns of ``docs``.
+
+    Null and empty texts link with nothing and stay. Rows that repeat an id and its text stay together, which the stage
+    before rules out; an empty table gives no rows."""
     return keep_first(docs, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows' token ids and their places in sequences of 2048.
+
+    A null or empty text is the end id alone. Null ids and rows that repeat are packed like others; an empty table gives
+    no rows; other columns of ``docs`` are not read."""
     pieces = cut_documents(docs, vocabulary("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids_le")).drop("ids_le")
     return harmonic_packing(pieces).select(F.col("id").alias("doc_id"), "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
