@@ -36,6 +36,10 @@ from tickloom.llm.tokens import slices
 
 BANDS, ROWS, BITS = 36, 7, 1024
 BLOCK = 256
+#: Shingles of a block held at once; beyond them sets are made anew when asked for.
+MOST_SHINGLES = 200_000
+#: Rows of a group that join what is known of it are dealt to so many tasks.
+SALTS = 16
 _U = np.uint64
 #: Bands, rows and screen for thresholds of so many percent and more.
 SCHEMES = {85: (BANDS, ROWS, 0.7), 80: (48, 6, 0.64)}
@@ -134,6 +138,8 @@ def group_links(members: list[Member], percent: int, screen: float) -> list[tupl
 
     def shingles(x: int) -> frozenset:
         if x not in sets:
+            if sum(map(len, sets.values())) > MOST_SHINGLES:
+                sets.clear()
             sets[x] = word_shingles(members[x].text)
         return sets[x]
 
@@ -172,14 +178,15 @@ def _links(percent: int, screen: float):
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
         for b in batches:
-            keys = list(zip(*(b.column(k).to_pylist() for k in range(3))))
-            rest = zip(*(b.column(k).to_pylist() for k in range(3, b.num_columns)))
-            for key, row in zip(keys, rest):
-                if key != at:
-                    close()
-                    at, held = key, {}
-                new, old = Member(*row), held.get(row[0])
-                held[new.node] = new if old is None else new._replace(role=new.role | old.role)
+            for first in range(0, b.num_rows, BLOCK):
+                part = b.slice(first, BLOCK)
+                for row in zip(*(c.to_pylist() for c in part.columns)):
+                    if row[:3] != at:
+                        close()
+                        at, held = row[:3], {}
+                    new = Member(*row[3:])
+                    old = held.get(new.node)
+                    held[new.node] = new if old is None else new._replace(role=new.role | old.role)
             if out:
                 yield batch()
                 out.clear()
@@ -190,6 +197,14 @@ def _links(percent: int, screen: float):
     return run
 
 
+def salted(groups: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """``groups`` (leader, node, ...) joined with the one row that ``known`` has of a leader, which goes to every salt; so
+    the members of a large group meet it in several tasks."""
+    left = groups.withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    right = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, ["leader", "__salt"], how).drop("__salt")
+
+
 PLACED = ["leader", "i", "j", "node", "root", "role"]
 
 
@@ -197,8 +212,8 @@ def star_blocks(groups: DataFrame) -> DataFrame:
     """Every member of a group beside its leader: ``BLOCK`` members to a block, the leader in each of them.
 
     (leader, node) -> ``PLACED``; as many rows as members, and one more for each block."""
-    blocks = groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(blocks, "leader")
+    blocks = groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    placed = salted(groups, blocks, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = placed.where("node <> leader").select("leader", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("root"), F.lit(ANSWERS).alias("role"))
     leaders = placed.where("node = leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("root"), F.lit(ASKS).alias("role"))
     return members.unionByName(leaders)
@@ -213,7 +228,7 @@ def outsider_blocks(groups: DataFrame, roots: DataFrame) -> DataFrame:
     sizes = found.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("leader").agg(F.max_by(F.struct("root", "n"), F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
     open_ = most.where("all > top.n").select("leader", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"))
-    found = settle(found.join(open_, "leader"), "open-groups")
+    found = settle(salted(found, open_, "inner"), "open-groups")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = found.where("root <> top").select("leader", own("rows").alias("i"), every("columns").alias("j"), "node", "root", F.lit(ASKS).alias("role"))

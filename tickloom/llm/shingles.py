@@ -14,8 +14,8 @@ import numpy as np
 WORDS = 5
 _U = np.uint64
 _KEY = b"word shingles"
-#: Distinct words remembered at once.
-MOST = 500_000
+#: Distinct words remembered at once (about 20 MB).
+MOST = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
