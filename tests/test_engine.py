@@ -428,3 +428,39 @@ def test_train_and_predict_jobs(spark, tmp_path):
     with pytest.raises(ValueError, match="close_lag1"):
         jobs.predict_job(df.drop("close_lag1"), str(tmp_path / "artifacts"), str(tmp_path / "p"))
     assert json.loads(jobs.run_config(seed=1))["seed"] == 1
+
+
+def test_predictions_come_for_every_row(spark):
+    df = spark.createDataFrame([(float(i), float(i % 3), float(i > 20)) for i in range(40)], "a double, b double, label double")
+    odd = df.unionByName(spark.createDataFrame([(None, 1.0, 0.0), (float("nan"), 1.0, 0.0), (30.0, None, 1.0)], "a double, b double, label double"))
+    for name in ("rf", "hgbt", "logreg"):
+        task = models.Task("binary", ("a", "b"))
+        out = models.predict(models.build(name, task, trees=5, depth=3, rounds=3).fit(odd), odd, task, ["a", "b"]).collect()
+        assert len(out) == 43
+        assert sum(r["prediction"] is None and r["prob"] is None for r in out) == 3 and all(0 <= r["prob"] <= 1 for r in out if r["prob"] is not None)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tickloom import store
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        store.shared_dir(bare)
+
+
+def test_places_and_curves_do_not_need_one_task(spark):
+    from tickloom.ml import scoring
+    from tickloom.operators import sets
+
+    rows = [(i * 7919 % 1000, i) for i in range(1000)] + [(5, 2000)]
+    df = spark.createDataFrame(rows, "k bigint, t bigint").repartition(6)
+    wanted = {k: p for p, k in enumerate(dict.fromkeys(k for k, t in sorted(rows, key=lambda r: r[1])))}
+    assert {r["k"]: r["place"] for r in sets.distinct_in_order(df, ["k"], F.col("t")).collect()} == wanted
+    assert sets.distinct_in_order(df.limit(0), ["k"], F.col("t")).count() == 0
+    scores = spark.createDataFrame([(i % 3 == 0, (i * 31 % 97) / 97) for i in range(600)], "y boolean, s double").select(F.col("y").cast("int").alias("y"), "s")
+    found = scoring.binary_scores(scores, "y", "y", "s").first()
+    plain = [(r["y"], r["s"]) for r in scores.collect()]
+    good, bad = ([s for y, s in plain if y == v] for v in (1, 0))
+    assert found["roc_auc"] == pytest.approx(sum((a > b) + (a == b) / 2 for a in good for b in bad) / len(good) / len(bad))

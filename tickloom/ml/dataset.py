@@ -232,11 +232,16 @@ def purged_folds(df: DataFrame, folds: int = 5, embargo: str = "60 minutes") ->
     if folds < 2:
         raise ValueError("at least two folds")
     times = df.select("ts").distinct()
-    runs = times.withColumn("fold", F.ntile(folds).over(Window.orderBy("ts"))).groupBy("fold").agg(F.min("ts").alias("__a"), F.max("ts").alias("__b"))
+    n = times.count()
+    begins = [i * (n // folds) + min(i, n % folds) for i in range(min(folds, n))]
+    ends = [b - 1 for b in [*begins[1:], n]] if n else []
+    at = dict(zip([*begins, *ends], _kth(times, n, [*begins, *ends])))
+    runs = F.array(*[F.struct(F.lit(i + 1).alias("fold"), at[a].alias("__a"), at[b].alias("__b")) for i, (a, b) in enumerate(zip(begins, ends))])
     t, gap = F.col("ts"), F.expr(f"INTERVAL {embargo}")
     role = F.when(t.between(F.col("__a"), F.col("__b")), "val").when((t <= F.col("__a") - gap) | (t >= F.col("__b") + gap), "train")
-    # one row for each fold
-    return df.join(F.broadcast(runs)).withColumn("role", role).where("role IS NOT NULL").drop("__a", "__b").withColumn("fold", F.col("fold") - 1)
+    if not n:
+        return df.limit(0).withColumn("fold", F.lit(0)).withColumn("role", F.lit("val"))
+    return df.select("*", F.inline(runs)).withColumn("role", role).where("role IS NOT NULL").drop("__a", "__b").withColumn("fold", F.col("fold") - 1)
 
 
 def fixed_universe(train: DataFrame, liquidity: str, top: int | None = None, percentile: float | None = None) -> DataFrame:

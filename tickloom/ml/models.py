@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml import classification as clf
@@ -39,11 +40,12 @@ class Task:
 def _forest(t: Task, p: dict):
     if t.kind == "regression":
         return reg.RandomForestRegressor(labelCol=t.label, numTrees=p["trees"], maxDepth=p["depth"], seed=t.seed)
-    return clf.RandomForestClassifier(labelCol=t.label, numTrees=p["trees"], maxDepth=p["depth"], seed=t.seed, weightCol=t.weight)
+    made = clf.RandomForestClassifier(labelCol=t.label, numTrees=p["trees"], maxDepth=p["depth"], seed=t.seed)
+    return made.setWeightCol(t.weight) if t.weight else made
 
 
 def _boosted(t: Task, p: dict):
-    depth = min(p["depth"], 6)
+    depth = p["depth"]
     if t.kind == "regression":
         return reg.GBTRegressor(labelCol=t.label, maxIter=p["rounds"], maxDepth=depth, stepSize=p["rate"], seed=t.seed)
     one = clf.GBTClassifier(labelCol=t.label, maxIter=p["rounds"], maxDepth=depth, stepSize=p["rate"], seed=t.seed)
@@ -53,7 +55,8 @@ def _boosted(t: Task, p: dict):
 def _logistic(t: Task, p: dict):
     if t.kind == "regression":
         raise ValueError("a logistic model needs classes")
-    return clf.LogisticRegression(labelCol=t.label, maxIter=p["rounds"], regParam=p["reg"] / 100, elasticNetParam=0.0, family="multinomial" if t.kind == "multiclass" else "auto", weightCol=t.weight, featuresCol="scaled")
+    made = clf.LogisticRegression(labelCol=t.label, maxIter=p["rounds"], regParam=p["reg"] / 100, elasticNetParam=0.0, family="multinomial" if t.kind == "multiclass" else "auto", featuresCol="scaled")
+    return made.setWeightCol(t.weight) if t.weight else made
 
 
 def _elastic(t: Task, p: dict):
@@ -92,12 +95,16 @@ def positive_weight(df: DataFrame, label: str) -> DataFrame:
 
 
 def predict(model: PipelineModel, df: DataFrame, task: Task, keep: Sequence[str] = ()) -> DataFrame:
-    """``keep`` columns with ``prediction`` and, for classes, ``prob`` (of class 1) or ``prob_0`` and so on."""
-    out = model.transform(df)
-    cols: list[Column] = [F.col(c) for c in keep] + [F.col("prediction")]
+    """``keep`` columns with ``prediction`` and, for classes, ``prob`` (of class 1) or ``prob_0`` and so on.
+
+    Every row comes out; one with a missing feature has nulls."""
+    assembler, *rest = model.stages
+    out = PipelineModel([assembler.copy().setHandleInvalid("keep"), *rest]).transform(df)
+    whole = reduce(lambda p, q: p & q, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in task.features], F.lit(True))
+    cols: list[Column] = [F.col(c) for c in keep] + [F.when(whole, F.col("prediction")).alias("prediction")]
     if "probability" in out.columns:
         p = vector_to_array("probability")
-        cols += [p[1].alias("prob")] if task.kind == "binary" else [p[i].alias(f"prob_{i}") for i in range(task.classes)]
+        cols += [F.when(whole, p[1]).alias("prob")] if task.kind == "binary" else [F.when(whole, p[i]).alias(f"prob_{i}") for i in range(task.classes)]
     return out.select(*cols)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickloom.operators.sets import before_parts, in_ranges
+
 
 def regression_scores(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """mae, rmse and r2 in one row; r2 is NULL for constant truth."""
@@ -36,8 +38,11 @@ def binary_scores(df: DataFrame, truth: str, guess: str, score: str | None = Non
     if score is None:
         return out
     steps = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.sum((1 - F.col(truth)).cast("long")).alias("n"))
-    down = Window.orderBy(F.desc("s"))
-    run = steps.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "all_p": F.sum("p").over(Window.partitionBy()), "all_n": F.sum("n").over(Window.partitionBy())})
+    parts = in_ranges(steps, F.desc("s"))
+    down = Window.partitionBy("__part").orderBy(F.desc("s"))
+    # one row for each part, and one of totals
+    run = parts.join(F.broadcast(before_parts(parts, p0=F.sum("p"), n0=F.sum("n"))), "__part").join(F.broadcast(parts.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))))
+    run = run.withColumns({"tp": F.col("p0") + F.sum("p").over(down), "fp": F.col("n0") + F.sum("n").over(down)})
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / F.max(F.col("all_p") * F.col("all_n"))
     precision = F.sum(F.col("p") / F.col("all_p") * F.col("tp") / (F.col("tp") + F.col("fp")))
     curves = run.where("all_p > 0 AND all_n > 0").agg(area.alias("roc_auc"), precision.alias("pr_auc"))

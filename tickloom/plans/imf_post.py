@@ -136,8 +136,9 @@ def q_cluster_relabel(spark, d):
 
 
 def q_energy_stubs(spark, d):
-    rows = energy_shares(_imf_rows(spark, d).where("imf_id % 40 <> 7").withColumn("energy", F.col("energy_share") + 1).drop("energy_share"))
-    symbols = _imf_rows(spark, d).select("symbol").distinct()
+    """Every symbol of the modes, and some that have none."""
+    rows = energy_shares(_imf_rows(spark, d).withColumn("energy", F.col("energy_share") + 1).drop("energy_share"))
+    symbols = _imf_rows(spark, d).select("symbol").distinct().unionByName(spark.range(40, 45).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("symbol")))
     return with_stubs(symbols, rows.select("symbol", "series", "imf_id", "status", F.round("energy_share", 8).alias("energy_share")))
 
 
@@ -167,6 +168,6 @@ SQL = {
     "cluster_relabel": f"""WITH {_ROWS}, r AS (SELECT *, CASE WHEN imf_id % 50 = 0 THEN -1 ELSE csize::INT END AS c FROM rows0 WHERE period_days IS NOT NULL),
         z AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, median(period_days), c) AS k FROM r WHERE c <> -1 GROUP BY c), n AS (SELECT imf_id, 9000 + row_number() OVER (ORDER BY period_days, symbol, imf_id) AS k FROM r WHERE c = -1)
         SELECT imf_id, printf('GP%04d', k) AS cluster_id FROM r JOIN z USING (c) UNION ALL SELECT imf_id, printf('GP%04d', k) FROM n""",
-    "energy_stubs": f"""WITH {_ROWS}, r AS (SELECT symbol, series, imf_id, status, round((energy_share + 1) / (sum(energy_share + 1) OVER (PARTITION BY symbol, series) + 1e-9), 8) AS energy_share FROM rows0 WHERE imf_id % 40 <> 7),
-        g AS (SELECT DISTINCT symbol, unnest(['price', 'volume']) AS series FROM rows0) SELECT symbol, series, imf_id, coalesce(status, 'no_imfs') AS status, energy_share FROM g LEFT JOIN r USING (symbol, series)""",
+    "energy_stubs": f"""WITH {_ROWS}, r AS (SELECT symbol, series, imf_id, status, round((energy_share + 1) / (sum(energy_share + 1) OVER (PARTITION BY symbol, series) + 1e-9), 8) AS energy_share FROM rows0),
+        g AS (SELECT DISTINCT symbol, unnest(['price', 'volume']) AS series FROM (SELECT symbol FROM rows0 UNION ALL SELECT 'S' || i FROM range(40, 45) t(i))) SELECT symbol, series, imf_id, coalesce(status, 'no_imfs') AS status, energy_share FROM g LEFT JOIN r USING (symbol, series)""",
 }

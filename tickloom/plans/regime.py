@@ -14,6 +14,7 @@ from tickloom.functions import fold
 from tickloom.functions.scalar import EPS, log_price
 from tickloom.operators.grid import on_grid, resample
 from tickloom.plans.tables import BARS_D, bars_d
+from tickloom.store import settle
 
 
 def daily_grid(bars: DataFrame) -> DataFrame:
@@ -70,7 +71,8 @@ def regime_window(history: DataFrame, days: int, suffix: str) -> DataFrame:
 
 def regime_snapshot(bars: DataFrame, asof: Column, windows: Sequence[int] = (3, 7, 14, 30, 90), breakout: int = 20, filter_asof: bool = True) -> DataFrame:
     """One wide row for each symbol as of a time; bars after it do not count unless ``filter_asof`` is off."""
-    history = with_history(daily_grid(bars.where(F.col("ts") <= asof) if filter_asof else bars), breakout)
+    # read once for each window
+    history = settle(with_history(daily_grid(bars.where(F.col("ts") <= asof) if filter_asof else bars), breakout), "daily-history")
     parts = [regime_window(history, n, f"{n}d") for n in windows]
     return reduce(lambda p, q: p.join(q, "symbol", "full"), parts).withColumn("timestamp_asof_utc", asof)
 

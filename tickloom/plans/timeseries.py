@@ -173,7 +173,7 @@ def q_union_by_name(spark, d):
 
 def q_distinct_keys(spark, d):
     e = table(spark, d, "events")
-    return sets.distinct_in_order(e.where("event_id % 7 = 0"), ["user_id"], F.struct("ts", "event_id")).select("user_id", *big("place"))
+    return sets.distinct_in_order(e, ["user_id"], F.struct("ts", "event_id")).select("user_id", *big("place"))
 
 
 def q_window_filter(spark, d):
@@ -300,7 +300,7 @@ SQL = {
             CASE WHEN n >= 19 THEN round(lo, 5) END AS close_min, CASE WHEN n >= 19 THEN round(hi, 5) END AS close_max, CASE WHEN n >= 19 THEN round(v, 5) END AS volume_sum FROM r""",
     "dedupe_keep_last": "SELECT user_id, event_type, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "union_by_name": "SELECT event_id, value, NULL::BIGINT AS user_id FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, NULL, user_id FROM events WHERE event_type = 'error'",
-    "distinct_keys": "WITH f AS (SELECT user_id, min({'t': ts, 'i': event_id}) AS o FROM events WHERE event_id % 7 = 0 GROUP BY 1) SELECT user_id, row_number() OVER (ORDER BY o, user_id) - 1 AS place FROM f",
+    "distinct_keys": "WITH f AS (SELECT user_id, min({'t': ts, 'i': event_id}) AS o FROM events GROUP BY 1) SELECT user_id, row_number() OVER (ORDER BY o, user_id) - 1 AS place FROM f",
     "window_filter": f"WITH {BARS_H}, w AS (SELECT symbol, ts, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) OVER (PARTITION BY symbol, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01')) AS window_bars FROM bars) SELECT * FROM w WHERE window_bars >= 9",
     "fixed_universe": f"WITH {BARS_D} SELECT symbol, round(quantile_cont(volume, 0.5), 6) AS median FROM bars WHERE ts < TIMESTAMP '1999-01-01' GROUP BY symbol ORDER BY quantile_cont(volume, 0.5) DESC, symbol LIMIT 4",
     "dataset_min": f"""WITH {_RET}, l AS (SELECT symbol, ts, lag(close) OVER w AS a, lag(close, 2) OVER w AS b, lag(ret_1m) OVER w AS c, lag(ret_1m, 2) OVER w AS d FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts))
