@@ -85,14 +85,10 @@ def test_every_position_trains_in_one_part_of_one_round(spark, monkeypatch):
     monkeypatch.setattr(lm, "PART_WORDS", 200)
     docs = spark.createDataFrame(awkward() + [(100 + i, prose(i, i), "en") for i in range(90)], SCHEMA)
     coded, _ = lm.encode_words(docs)
-    trained = collections.Counter()
-    held = lm._train
-    calls = []
-    monkeypatch.setattr(lm, "_train", lambda start: calls.append(start) or held(start))
-    monkeypatch.setattr(lm, "_average", lambda pdf: trained.update(dict(zip(zip([len(calls)] * len(pdf), pdf["part"]), pdf["n"].tolist()))) or pdf.head(1))
     total = int(sum(map(len, texts_of(coded))))
-    lm.train(coded, total)
-    assert len(calls) == lm.ROUNDS and sum(trained.values()) == total and len(trained) > lm.ROUNDS
+    assert total > 3 * lm.ROUNDS * lm.PART_WORDS
+    trained = [n for _, n in lm.train_rounds(coded, total)]
+    assert len(trained) == lm.ROUNDS and sum(trained) == total
     texts = texts_of(coded)
     around, target = lm.positions(texts)
     wanted = [(*((t[i + o] if 0 <= i + o < len(t) else lm.PAD) + k * (lm.PAD + 1) for k, o in enumerate(lm.AROUND)), t[i]) for t in (x.tolist() for x in texts) for i in range(len(t))]
@@ -134,14 +130,14 @@ def test_a_round_against_plain_python(monkeypatch):
                 s += d * d
                 w -= lm.RATE * d / np.sqrt(s)
         wanted += len(target) * np.concatenate([w.ravel() for w in weights])
-    average = np.frombuffer(lm._average(made)["weights"][0], "float32")
+    average = np.frombuffer(lm._average((0,), made)["weights"][0], "float32")
     assert np.abs(average - wanted / 40).max() < 1e-4
 
 
 def test_averages_weigh_positions():
     flat = lambda x: np.full(sum(lm.SIZES), x, "float32").tobytes()
-    out = lm._average(pd.DataFrame({"part": [33, 32], "n": [1, 3], "weights": [flat(4.0), flat(0.0)]}))
-    assert out["part"][0] == 32 // lm.FAN_IN and out["n"][0] == 4 and set(np.frombuffer(out["weights"][0], "float32")) == {1.0}
+    out = lm._average((2,), pd.DataFrame({"part": [33, 32], "n": [1, 3], "weights": [flat(4.0), flat(0.0)]}))
+    assert out["part"][0] == 2 and out["n"][0] == 4 and set(np.frombuffer(out["weights"][0], "float32")) == {1.0}
 
 
 def test_training_lowers_the_loss():

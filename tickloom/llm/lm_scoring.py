@@ -261,18 +261,17 @@ def _train(start: bytes):
     return run
 
 
-def _average(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Weighted by positions, added up in the order of the parts."""
+def _average(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Weighted by positions, added up in the order of the parts; the key is the average's place among its like."""
     pdf = pdf.sort_values("part")
     total, n = np.zeros(sum(SIZES)), int(pdf["n"].sum())
     for k, w in zip(pdf["n"], pdf["weights"]):
         total += k * np.frombuffer(w, "float32")
-    return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN_IN], "n": [n], "weights": [(total / n).astype("float32").tobytes()]})
+    return pd.DataFrame({"part": [key[0]], "n": [n], "weights": [(total / n).astype("float32").tobytes()]})
 
 
-def train(coded: DataFrame, words: int, sizes: np.ndarray | None = None) -> np.ndarray:
-    """Weights trained over ``codes`` of all rows, dealt by ``__deal``, for a corpus of so many ``words``; those of the
-    start if there are none."""
+def train_rounds(coded: DataFrame, words: int, sizes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, int]]:
+    """After each round that trains any, the weights and how many positions it trained. ``words`` of the corpus set the parts."""
     weights = start_weights(sizes)
     parts = max(1, min(MOST_PARTS, -(-words // (ROUNDS * PART_WORDS))))
     dealt = coded.where(F.length("codes") > 0).select(F.pmod("__deal", F.lit(ROUNDS)).alias("round"), F.pmod(F.floor(F.col("__deal") / ROUNDS), F.lit(parts)).cast("bigint").alias("part"), "__deal", "codes")
@@ -284,6 +283,15 @@ def train(coded: DataFrame, words: int, sizes: np.ndarray | None = None) -> np.n
             left = -(-left // FAN_IN)
         for row in found.collect():  # one at most
             weights = np.frombuffer(bytes(row["weights"]), "float32")
+            yield weights, row["n"]
+
+
+def train(coded: DataFrame, words: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Weights trained over ``codes`` of all rows, dealt by ``__deal``, for a corpus of so many ``words``; those of the
+    start if there are none."""
+    weights = start_weights(sizes)
+    for weights, _ in train_rounds(coded, words, sizes):
+        pass
     return weights
 
 
