@@ -77,7 +77,9 @@ def cluster_stats(rows: DataFrame, cluster: str, period: str = "period_days", am
 
 def cluster_cards(rows: DataFrame, cluster: str, examples: int = 5) -> DataFrame:
     """Cluster statistics with the symbols of its strongest rows by energy share."""
-    best = rows.groupBy(cluster).agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("energy_share")).alias("e"), "symbol"))), 1, examples), lambda x: x["symbol"]).alias("example_symbols"))
+    place = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc_nulls_last("energy_share"), "symbol"))
+    first = rows.select(cluster, "symbol", place.alias("k")).where(F.col("k") <= examples)
+    best = first.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("k", "symbol")))["symbol"].alias("example_symbols"))
     return cluster_stats(rows, cluster).join(best, cluster)
 
 
@@ -130,6 +132,11 @@ def q_cluster_stats(spark, d):
     return c.select(F.col("cluster_size_global").alias("cluster"), "n", *[F.round(x, 6).alias(x) for x in ("median_period", "median_amp", "mad_pct_period", "mad_pct_amp", "reliability_period", "reliability_amp")])
 
 
+def q_cluster_cards(spark, d):
+    rows = _imf_rows(spark, d).where("period_days > 0 AND amp_pct IS NOT NULL")
+    return cluster_cards(rows, "cluster_size_global").select(F.col("cluster_size_global").alias("cluster"), "n", F.array_join("example_symbols", ",").alias("example_symbols"))
+
+
 def q_cluster_relabel(spark, d):
     rows = _imf_rows(spark, d).where("period_days IS NOT NULL").withColumn("c", F.when(F.col("imf_id") % 50 == 0, -1).otherwise(F.col("cluster_size_global").cast("int")))
     return relabel(rows, "c", F.lit("GP")).select("imf_id", "cluster_id")
@@ -165,6 +172,8 @@ SQL = {
     "cluster_stats": f"""WITH {_ROWS}, r AS (SELECT * FROM rows0 WHERE period_days > 0 AND amp_pct IS NOT NULL), m AS (SELECT csize, median(period_days) AS p, median(amp_pct) AS q FROM r GROUP BY 1),
         a AS (SELECT csize, count(*) AS n, any_value(p) AS p, any_value(q) AS q, 1.4826 * median(abs(period_days - p)) / nullif(abs(any_value(p)), 0) * 100 AS x, 1.4826 * median(abs(amp_pct - q)) / nullif(abs(any_value(q)), 0) * 100 AS y FROM r JOIN m USING (csize) GROUP BY 1)
         SELECT csize AS cluster, n, round(p, 6) AS median_period, round(q, 6) AS median_amp, round(x, 6) AS mad_pct_period, round(y, 6) AS mad_pct_amp, round(CASE WHEN n = 1 THEN 0 ELSE exp(-x / 25) END, 6) AS reliability_period, round(CASE WHEN n = 1 THEN 0 ELSE exp(-y / 25) END, 6) AS reliability_amp FROM a""",
+    "cluster_cards": f"""WITH {_ROWS}, r AS (SELECT *, row_number() OVER (PARTITION BY csize ORDER BY energy_share DESC NULLS LAST, symbol) AS k FROM rows0 WHERE period_days > 0 AND amp_pct IS NOT NULL)
+        SELECT csize AS cluster, count(*) AS n, string_agg(symbol, ',' ORDER BY k) FILTER (WHERE k <= 5) AS example_symbols FROM r GROUP BY 1""",
     "cluster_relabel": f"""WITH {_ROWS}, r AS (SELECT *, CASE WHEN imf_id % 50 = 0 THEN -1 ELSE csize::INT END AS c FROM rows0 WHERE period_days IS NOT NULL),
         z AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, median(period_days), c) AS k FROM r WHERE c <> -1 GROUP BY c), n AS (SELECT imf_id, 9000 + row_number() OVER (ORDER BY period_days, symbol, imf_id) AS k FROM r WHERE c = -1)
         SELECT imf_id, printf('GP%04d', k) AS cluster_id FROM r JOIN z USING (c) UNION ALL SELECT imf_id, printf('GP%04d', k) FROM n""",

@@ -11,7 +11,7 @@ from tickloom.ml import dataset as ds
 from tickloom.ml import models
 from tickloom.plans.tables import bars_h
 from tickloom.store import shared_dir
-from tickloom.streaming.windows import stream_ewm, stream_sliding, stream_windows
+from tickloom.streaming.windows import stream_ewm, stream_latest, stream_sliding, stream_windows
 
 FEATURES = ("close_lag1", "close_lag2", "volume_lag1", "ret_1m_lag1", "hour_of_day")
 
@@ -74,6 +74,11 @@ def q_stream_ewm(spark, d):
     return run_stream(spark, stream_ewm(_stream(spark, d), 12)).withColumn("ema", F.round("ema", 5))
 
 
+def q_stream_latest(spark, d):
+    hours = _stream(spark, d).withColumn("ts", F.date_trunc("hour", "ts"))
+    return run_stream(spark, stream_latest(hours, ["symbol"])).select("symbol", "ts")
+
+
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 
 SQL = {
@@ -82,4 +87,10 @@ SQL = {
     "stream_sliding": """WITH s AS (SELECT event_type AS symbol, ts, value, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + to_hours(6 * k) AS window_end FROM events, (VALUES (1), (2)) t(k)),
         w AS (SELECT symbol, window_end, round(avg(value), 9) AS close_mean, min(value) AS close_min, max(value) AS close_max, count(*) AS bars FROM s GROUP BY 1, 2)
         SELECT * FROM w WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "stream_latest": "SELECT DISTINCT event_type AS symbol, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts FROM events",
+    "stream_ewm": """WITH RECURSIVE g AS (SELECT event_type AS symbol, ts, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM events),
+        e AS (SELECT symbol, ts, i, x AS ema FROM g WHERE i = 1
+            UNION ALL
+            SELECT g.symbol, g.ts, g.i, 11.0::DOUBLE / 13 * e.ema + 2.0::DOUBLE / 13 * g.x FROM e JOIN g ON g.symbol = e.symbol AND g.i = e.i + 1)
+        SELECT symbol, ts, round(ema, 5) AS ema FROM e""",
 }

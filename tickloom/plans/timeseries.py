@@ -102,6 +102,22 @@ def q_labels_return_direction(spark, d):
     return x.select("symbol", "ts", F.round(ds.labels("price", 4), 6).alias("price_4"), F.round(ds.labels("return", 4), 6).alias("return_4"), ds.labels("direction", 4, 500).cast("bigint").alias("dir3"), ds.labels("direction", 4, 500, 2).cast("bigint").alias("dir2"), ds.labels("direction", 4, 500, 3, True).cast("bigint").alias("dir3_compat"))
 
 
+def q_label_price(spark, d):
+    return bars_h(spark, d).select("symbol", "ts", F.round(ds.labels("price", 4), 6).alias("price_4"))
+
+
+def q_training_cuts(spark, d):
+    train = ds.with_returns(bars_h(spark, d)).where("ts < '2024-01-20'")
+    cuts = ds.training_thresholds(train, {"low_volume": (F.col("volume"), 30), "spike_ret": (F.abs("ret_1m"), 97), "spike_close": (F.col("close"), 99.5)})
+    return spark.createDataFrame([(n, round(x, 6)) for n, x in cuts.items()], "name string, cut double")
+
+
+def q_hygienic(spark, d):
+    """Flags made of the bars: a window is covered with two events or more, unknown at midnight, and valid if it closes below its open."""
+    flags = {"window_ok_1h": F.when(F.hour("ts") > 0, (F.col("volume") >= 2).cast("int")), f"metrics_valid_{ds.VALIDITY[0]}_1h": F.col("close") < F.col("open")}
+    return ds.hygienic(bars_h(spark, d).withColumns(flags), ["1h", "4h"]).select("symbol", "ts", "volume")
+
+
 def q_labels_vol_event(spark, d):
     x = ds.with_returns(bars_h(spark, d)).withColumn("width", rolling(F.stddev_samp, F.col("close"), ds.by_symbol(), 12, 12))
     train = x.where("ts < '2024-01-20'")
@@ -269,6 +285,10 @@ SQL = {
     "labels_return_direction": f"""WITH {BARS_H}, f AS (SELECT *, lead(close, 4) OVER (PARTITION BY symbol ORDER BY ts) AS fut FROM bars), r AS (SELECT *, ln((fut + 1e-12) / (close + 1e-12)) AS r FROM f)
         SELECT symbol, ts, round(fut, 6) AS price_4, round(r, 6) AS return_4, CAST(CASE WHEN r >= 0.05 THEN 2 WHEN r <= -0.05 THEN 0 WHEN r IS NOT NULL THEN 1 END AS BIGINT) AS dir3,
             CAST(CASE WHEN r >= 0.05 THEN 1 WHEN r IS NOT NULL THEN 0 END AS BIGINT) AS dir2, CAST(CASE WHEN r >= 0.05 THEN 2 WHEN r <= -0.05 THEN 0 ELSE 1 END AS BIGINT) AS dir3_compat FROM r""",
+    "label_price": f"""WITH {BARS_H} SELECT symbol, ts, round(lead(close, 4) OVER (PARTITION BY symbol ORDER BY ts), 6) AS price_4 FROM bars""",
+    "training_cuts": f"""WITH {_RET}, t AS (SELECT * FROM x WHERE ts < TIMESTAMP '2024-01-20') SELECT 'low_volume' AS name, round(quantile_cont(volume, 0.3), 6) AS cut FROM t
+        UNION ALL SELECT 'spike_ret', round(quantile_cont(abs(ret_1m), 0.97), 6) FROM t UNION ALL SELECT 'spike_close', round(quantile_cont(close, 0.995), 6) FROM t""",
+    "hygienic": f"""WITH {BARS_H} SELECT symbol, ts, volume FROM bars WHERE hour(ts) > 0 AND volume >= 2 AND close < open""",
     "labels_vol_event": f"""WITH {_RET}, y AS (SELECT *, CASE WHEN count(close) OVER k >= 12 THEN stddev_samp(close) OVER k END AS width FROM x WINDOW k AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
         cut AS (SELECT quantile_cont(width, 0.3) AS low, quantile_cont(abs(ret_1m), 0.97) AS jump FROM y WHERE ts < TIMESTAMP '2024-01-20'),
         z AS (SELECT *, CASE WHEN count(ret_1m) OVER f >= 4 THEN stddev_samp(ret_1m) OVER f END AS vol_6, CASE WHEN count(ret_1m) OVER c >= 4 THEN stddev_samp(ret_1m) OVER c END AS vol_6_compat,
