@@ -40,6 +40,8 @@ BLOCK = 256
 MOST_SHINGLES = 200_000
 #: Rows of a group that join what is known of it are dealt to so many tasks.
 SALTS = 16
+#: Bytes of an Arrow batch of texts; the JVM and the worker each hold a few of them for every task.
+BATCH_BYTES = 8 << 20
 _U = np.uint64
 #: Bands, rows and screen for thresholds of so many percent and more.
 SCHEMES = {85: (BANDS, ROWS, 0.7), 80: (48, 6, 0.64)}
@@ -205,6 +207,20 @@ def salted(groups: DataFrame, known: DataFrame, how: str) -> DataFrame:
     return left.join(right, ["leader", "__salt"], how).drop("__salt")
 
 
+def settle_small(df: DataFrame, name: str) -> DataFrame:
+    """``settle`` with Arrow batches of at most about ``BATCH_BYTES``; the session's own setting comes back afterwards."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key, None)
+    conf.set(key, str(BATCH_BYTES))
+    try:
+        return settle(df, name)
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)
+
+
 PLACED = ["leader", "i", "j", "node", "root", "role"]
 
 
@@ -248,7 +264,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     screen = lowest if screen is None else screen
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    signed = settle(rows.mapInArrow(_sign(bands * per_band, per_band), f"id bigint, text_hash bigint, {SIGNED}").withColumn("node", F.monotonically_increasing_id()), "signed")
+    signed = settle_small(rows.mapInArrow(_sign(bands * per_band, per_band), f"id bigint, text_hash bigint, {SIGNED}").withColumn("node", F.monotonically_increasing_id()), "signed")
     own = settle(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("node").alias("set_node"), F.min("id").alias("least_id")), "sets")
     alone = signed.join(own.select("set_node"), signed["node"] == F.col("set_node")).drop("set_node")
     alone = settle(alone.select("node", "id", "text_hash", "n_shingles", "bands", "sketch"), "distinct-sets")
@@ -266,7 +282,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def confirmed(placed: DataFrame) -> DataFrame:
         blocked = placed.join(texts, "node").select(*PLACED, "size", "sketch", "text")
         blocked = blocked.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-        return settle(blocked.mapInArrow(_links(percent, screen), "a bigint, b bigint"), "near-links")
+        return settle_small(blocked.mapInArrow(_links(percent, screen), "a bigint, b bigint"), "near-links")
 
     links = confirmed(star_blocks(groups))
     links = links.unionByName(confirmed(outsider_blocks(groups, components(links))))
