@@ -61,10 +61,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is the end id alone. Null ids and rows that repeat are packed like others; an empty table gives
     no rows; other columns of ``docs`` are not read."""
-    pieces = cut_documents(docs, vocabulary("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids_le")).drop("ids_le")
+    pieces = cut_documents(docs, vocabulary("word_bpe_49k.json"), most=REMEMBERED).withColumn("ids_crc32", F.crc32("ids_le")).drop("ids_le")
     return harmonic_packing(pieces).select(F.col("id").alias("doc_id"), "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+#: Chunks that a tokenising worker remembers: workers serve all stages, so what one of them keeps lies beside the others' work.
+REMEMBERED = 100_000
+
 STAGES = [
     ("quality rules", reject_by_rules),
     ("quality classifier", reject_by_classifier),

@@ -193,6 +193,59 @@ def test_classifier_without_labels(spark):
     assert cc.classify(docs.limit(0), model, prior).count() == 0
 
 
+def test_classifier_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(cc, "PER_CLASS", 6)
+    monkeypatch.setattr(cc, "fit_texts", lambda good, bad: seen.update(good=good, bad=bad))
+    docs = spark.createDataFrame([(i, f"text {i} {k % 9}") for i in range(8) for k in range(27)], "doc_id bigint, text string")
+    cc.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id bigint, quality int"))
+    assert all(0 < len(x) <= 6 and len(x) == len(set(x)) for x in seen.values())
+
+
+def test_stages_hand_workers_batches_of_few_bytes_with_each_text_once(spark, monkeypatch):
+    """The texts of a task once went in one batch of 10,000 rows, however long, and those of the classifier twice."""
+    from tickloom.llm import harmonic_packing, store
+
+    n, most = 400, 400_000
+
+    def probe(run):
+        def probed(batches):
+            def small():
+                for b in batches:
+                    assert b.nbytes < 2 * most, b.nbytes
+                    yield b
+
+            return run(small())
+
+        return probed
+
+    monkeypatch.setattr(store, "BATCH_BYTES", most)
+    for module, name in ((cc, "_score"), (exact_dedup, "local_tries"), (harmonic_packing, "_tokenise")):
+        made = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, made=made, **b: probe(made(*a, **b)))
+    docs = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" words"), 1500)).alias("text"), F.lit(None).cast("int").alias("more"))
+    out = cc.classify(docs, None, 0.7)
+    assert out.columns == ["doc_id", "text", "more", "score", "held_out", "predicted"] and out.count() == n
+    assert out.select(docs.columns).exceptAll(docs).isEmpty()
+    assert exact_dedup.exact_dedup(docs).where("kept").count() == n
+    from tickloom.llm.queries import vocabulary
+
+    pieces = harmonic_packing.cut_documents(docs, vocabulary("word_bpe_49k.json"), most=10)
+    assert harmonic_packing.harmonic_packing(pieces).select("id").distinct().count() == n
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
+def test_a_worker_remembers_as_many_chunks_as_asked(spark):
+    from tickloom.llm.queries import vocabulary
+    from tickloom.llm.tokens import word_encoder
+
+    few, many = (word_encoder(vocabulary("word_bpe_49k.json"), m) for m in (50, 1000))
+    for k in range(20):
+        text = " ".join(f"w{k}x{i}" for i in range(40))
+        assert few.encode([text]) == many.encode([text])
+    assert len(few.known) + len(few.known.older) <= 300 < len(many.known)
+
+
 def test_classifier_never_learns_held_out_labels(spark):
     docs = spark.createDataFrame([(i, prose(i, 60), "en") for i in range(100)], SCHEMA)
     flip = lambda q: spark.createDataFrame([(i, (1 - i % 2) if zlib.crc32(str(i).encode()) % 5 else q, 0) for i in range(100)], "doc_id bigint, quality int, toxic int")

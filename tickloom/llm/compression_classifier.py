@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.store import settle, settle_small
 from tickloom.llm.tokens import beside, slices
 
 #: Bounds of the labelled sample that the driver gathers: texts of each class, and bytes of a text.
@@ -90,13 +91,15 @@ def held_out(id_col: str) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model | None, float]:
     """Fit on at most ``PER_CLASS`` labelled texts of each class whose crc32(id) mod 5 is not 0, the first by a
-    hash of the id; texts over ``TEXT_BYTES`` stay out of the sample. Also the share of good among the labels."""
+    hash of the id, then of the text where an id has several; texts over ``TEXT_BYTES`` stay out of the sample. Also the
+    share of good among the labels."""
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("__q")).distinct()
     part = lambda q: known.where(F.col("__q") == q).orderBy(F.xxhash64("__id"), "__id").limit(PER_CLASS)
     text = docs.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).between(1, TEXT_BYTES)).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    # at most 2 * PER_CLASS rows
-    rows = text.join(F.broadcast(part(1).unionByName(part(0))), "__id").select("__id", "__q", "__text").collect()
-    rows = sorted({(r[0], r[1], r[2]) for r in rows})
+    # at most 2 * PER_CLASS ids, but an id may have many rows: equal ones become one before they meet on the driver
+    found = settle(text.join(F.broadcast(part(1).unionByName(part(0))), "__id").select("__id", "__q", "__text").distinct(), "labelled-texts")
+    first = lambda q: found.where(F.col("__q") == q).orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text"), "__text").limit(PER_CLASS)
+    rows = sorted((r[0], r[1], r[2]) for q in (1, 0) for r in first(q).collect())
     counts = {r["__q"]: r["count"] for r in known.groupBy("__q").count().collect()}
     prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     return fit_texts([r[2].encode() for r in rows if r[1] == 1], [r[2].encode() for r in rows if r[1] == 0]), prior
@@ -105,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 _SIZERS: dict[tuple[bytes, bytes], Sizer] = {}
 
 
-def _score(model: Model | None, prior: float):
+def _score(model: Model | None, prior: float, n_kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model and (model.good, model.bad) not in _SIZERS:
             _SIZERS.clear()
@@ -118,7 +121,7 @@ def _score(model: Model | None, prior: float):
                     score = 1 / (1 + np.exp(-np.clip(x * model.weights[0] + model.weights[1], -30, 30)))
                 else:
                     score = np.full(len(texts), prior)
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in b.columns[:-1]), pa.array(score)], [*b.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in b.columns[:n_kept]), pa.array(score)], [*b.schema.names[:n_kept], "score"])
 
     return run
 
@@ -130,7 +133,10 @@ def classify(docs: DataFrame, model: Model | None, prior: float = 0.5, id_col: s
     model (a class with too few labels) every score is ``prior``. Rows that repeat score alike; an empty
     table gives an empty result."""
     carry = beside(docs.columns if carry is None else carry, "held_out", "score", "predicted", "__text")
-    rows = docs.select(*carry, F.col(text_col).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] + ["score double"])
-    out = rows.mapInArrow(_score(model, prior), schema).withColumn("held_out", held_out(id_col))
+    carried = next((c for c in carry if c.lower() == text_col.lower()), None)
+    rows = docs.select(*(c for c in carry if c != carried), F.col(text_col).alias("__text"))
+    kept = rows.schema[: len(carry)]  # a text that is carried goes to the workers and back once
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["score double"])
+    out = settle_small(rows.mapInArrow(_score(model, prior, len(carry)), schema), "scores")
+    out = out.select(*(F.col("__text").alias(c) if c == carried else c for c in carry), "score").withColumn("held_out", held_out(id_col))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

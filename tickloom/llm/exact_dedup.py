@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.store import settle
+from tickloom.llm.store import settle, settle_small
 from tickloom.llm.tokens import beside
 
 PARTIAL = "length bigint, content_hash string, body binary, owner bigint, copies bigint, own_copies bigint"
@@ -184,7 +184,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text counts as the empty text. One row of each text stays: the owner's. A null id never owns a text
     that another id has; where all ids of a text are null, ``keep_id`` is null. Of rows that repeat their owner's
     id and text, an arbitrary one stays; all count in ``group_size``. An empty table gives an empty result."""
-    own = settle(owners(docs, id_col, text_col, keep, budget, digits), "owners")
+    own = settle_small(owners(docs, id_col, text_col, keep, budget, digits), "owners")
     told = own.select(F.col("content_hash").alias("__h"), F.col("length").alias("__n"), F.col("body").alias("__body"), F.col("owner").alias("keep_id"), F.col("copies").alias("group_size"), F.col("own_copies").alias("__own"))
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(*beside(docs.columns, "keep_id", "group_size", "kept", "text_sha256", "__h", "__n", "__body", "__own", "__len", "__key", "__row"))

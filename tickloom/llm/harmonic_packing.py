@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.store import settle
-from tickloom.llm.tokens import slices, word_encoder
+from tickloom.llm.store import settle_small
+from tickloom.llm.tokens import MOST, slices, word_encoder
 
 
 def cut_lengths(n: int, capacity: int = 2048, waste: float = 0.02) -> list[int]:
@@ -40,11 +40,11 @@ def cut_lengths(n: int, capacity: int = 2048, waste: float = 0.02) -> list[int]:
 PIECES = "id bigint, start bigint, length int, doc_tokens bigint, ids_le binary"
 
 
-def _tokenise(path: str, end_id: int, capacity: int, waste: float):
+def _tokenise(path: str, end_id: int, capacity: int, waste: float, most: int):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(path)
+        encoder = word_encoder(path, most)
         for b in batches:
             ids = b.column(0).to_pylist()
             for at, texts in slices(b.column(1)):
@@ -62,9 +62,11 @@ def _tokenise(path: str, end_id: int, capacity: int, waste: float):
     return run
 
 
-def cut_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 2048, waste: float = 0.02) -> DataFrame:
-    """Tokenise every whole text, append ``end_id`` and cut: (id, start, length, doc_tokens, ids_le)."""
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col)).mapInArrow(_tokenise(vocabulary, end_id, capacity, waste), PIECES)
+def cut_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 2048, waste: float = 0.02, most: int = MOST) -> DataFrame:
+    """Tokenise every whole text, append ``end_id`` and cut: (id, start, length, doc_tokens, ids_le).
+
+    Workers remember about ``most`` chunks of text in each of two generations."""
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col)).mapInArrow(_tokenise(vocabulary, end_id, capacity, waste, most), PIECES)
 
 
 def _first_fit(capacity: int):
@@ -94,7 +96,7 @@ def harmonic_packing(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = pieces.drop("sequence_id", "offset", "class", "bucket", "row", "rank")
     held = held.withColumn("class", F.floor(F.lit(capacity) / F.col("length")).cast("int")).withColumn("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(buckets)).cast("int"))
-    held = settle(held.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    held = settle_small(held.withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = held.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("n"))
     by_class = Window.partitionBy("class")
     upto = by_class.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
 from tickloom.llm.shingles import mix, randoms, shingle_sets, word_shingles
-from tickloom.llm.store import settle
+from tickloom.llm.store import settle, settle_small
 from tickloom.llm.tokens import slices
 
 BANDS, ROWS, BITS = 36, 7, 1024
@@ -40,8 +40,6 @@ BLOCK = 256
 MOST_SHINGLES = 200_000
 #: Rows of a group that join what is known of it are dealt to so many tasks.
 SALTS = 16
-#: Bytes of an Arrow batch of texts; the JVM and the worker each hold a few of them for every task.
-BATCH_BYTES = 8 << 20
 _U = np.uint64
 #: Bands, rows and screen for thresholds of so many percent and more.
 SCHEMES = {85: (BANDS, ROWS, 0.7), 80: (48, 6, 0.64)}
@@ -207,20 +205,6 @@ def salted(groups: DataFrame, known: DataFrame, how: str) -> DataFrame:
     return left.join(right, ["leader", "__salt"], how).drop("__salt")
 
 
-def settle_small(df: DataFrame, name: str) -> DataFrame:
-    """``settle`` with Arrow batches of at most about ``BATCH_BYTES``; the session's own setting comes back afterwards."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = conf.get(key, None)
-    conf.set(key, str(BATCH_BYTES))
-    try:
-        return settle(df, name)
-    finally:
-        if before is None:
-            conf.unset(key)
-        else:
-            conf.set(key, before)
-
-
 PLACED = ["leader", "i", "j", "node", "root", "role"]
 
 

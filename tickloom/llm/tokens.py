@@ -90,13 +90,13 @@ class ChunkEncoder:
     ``plain`` says how the vocabulary spells a plain chunk's pre-tokens; their merges are asked of the
     model itself, which skips the work that only other chunks need."""
 
-    def __init__(self, tokenizer, split, plain):
-        self.tokenizer, self.split, self.plain = tokenizer, split, plain
+    def __init__(self, tokenizer, split, plain, most: int = MOST):
+        self.tokenizer, self.split, self.plain, self.most = tokenizer, split, plain, most
         self.known = Known(tokenizer, plain)
 
     def renew(self) -> None:
         """Start a new generation if this one is full."""
-        if len(self.known) > MOST:
+        if len(self.known) > self.most:
             self.known = Known(self.tokenizer, self.plain, dict(self.known))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -105,7 +105,7 @@ class ChunkEncoder:
         return [b"".join(map(get, self.split(x))) for x in texts]
 
 
-_ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
+_ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
 def byte_encoder(path: str) -> ChunkEncoder:
@@ -119,15 +119,15 @@ def split_words(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-def word_encoder(path: str) -> ChunkEncoder:
-    """For a vocabulary file whose tokenizer drops white space; one per worker and file.
+def word_encoder(path: str, most: int = MOST) -> ChunkEncoder:
+    """For a vocabulary file whose tokenizer drops white space; one per worker, file and ``most``.
 
     White space always ends a pre-token there, so texts are cut at spaces and line ends."""
-    if ("word", path) not in _ENCODERS:
+    if ("word", path, most) not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        _ENCODERS["word", path] = ChunkEncoder(Tokenizer.from_file(path), split_words, str.lower)
-    return _ENCODERS["word", path]
+        _ENCODERS["word", path, most] = ChunkEncoder(Tokenizer.from_file(path), split_words, str.lower, most)
+    return _ENCODERS["word", path, most]
 
 
 def beside(columns, *made: str) -> list[str]:
